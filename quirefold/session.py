@@ -17,6 +17,7 @@ def get_spark(cpus: int = 8, app: str = "quirefold", **conf: str) -> SparkSessio
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
