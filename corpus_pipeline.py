@@ -1,8 +1,70 @@
-"""Placeholder until its stages exist."""
+"""A training-corpus pipeline: language ID, exact dedup, near-dedup, decontamination, SentencePiece.
 
-STAGES: list = []
+Each stage reads all that its predecessor kept, from Parquet, and returns the columns of `documents`, except for the
+last, which returns the encoded documents. Rows that repeat a doc_id are carried along; null and
+empty texts have no language and go in the first stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirefold.llm import decontamination, exact_dedup, language_id, minhash_dedup, queries, sentencepiece_bpe
+from quirefold.llm.common import shared_dir
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; `lang` becomes the predicted language, where it was null.
+
+    The model learns from the labelled documents of the stage's own input.
+    """
+    model = language_id.train(docs.where(language_id.fold("doc_id", 4) != 2))
+    found = language_id.with_language(docs, model, out_col="__lang").where(F.col("__lang") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return exact_dedup.dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id."""
+    kept = minhash_dedup.near_groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item; clean ones stay as they are."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text that they decode to."""
+    return sentencepiece_bpe.round_trip(docs, queries.piece_model())
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+#: SQL can't express language identification or BPE; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("the stages come with their operators")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to `documents`; each result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
