@@ -9,9 +9,11 @@
    key has probability 0.26 ** 10 < 2e-6; above 0.8 it falls off quickly.
 3. Pairs are not expanded inside a bucket. First every class meets the smallest class of its buckets, in
    the bucket it shares most keys with (a star; one verification a class). Links that hold give
-   forests and thereby components. Then only pairs that share a key and lie in different
-   components are left; all of those are verified. No candidate pair is dropped: a pair inside one component can't
-   change the components.
+   components. What is left are pairs that share a bucket but lie in different components: in each such bucket
+   the largest component is the hub, and the classes of the others attach to it. A hub's attached classes are
+   compared with its members and with each other, in blocks of bounded size, each a task's unit of work
+   that counts common shingles by matrix products and emits one link per class and component at most. That
+   covers every pair of every bucket but those inside one component, which can't change the components.
 4. Links are confirmed on the full shingle sets, recomputed from the packed texts of the classes concerned.
 """
 
@@ -31,6 +33,8 @@ from quirefold.llm.words import WordHashes, mix, windows
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Similarity in hundredths, and words in a shingle, unless a caller says otherwise.
 PERCENT, SHINGLE = 80, 5
+#: Classes on either side of a block of comparisons, and shingles in a dense piece of it.
+LEFT, RIGHT, TERMS = 256, 1024, 8192
 SIGNED = "doc_id long, n_shingles long, set_id binary, keys array<long>"
 
 
@@ -120,6 +124,99 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return first.sortWithinPartitions("a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    if len(left) * len(right) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left])
+    a, b = np.concatenate(left), np.concatenate(right)
+    terms = np.intersect1d(a, b)
+    row_a = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    row_b = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    spots = []
+    for values, rows in ((a, row_a), (b, row_b)):
+        at = np.searchsorted(terms, values)
+        at[at == len(terms)] = 0
+        hit = terms[at] == values if len(terms) else np.zeros(len(values), dtype=bool)
+        at, rows = at[hit], rows[hit]
+        order = np.argsort(at, kind="stable")
+        spots.append((at[order], rows[order]))
+    for begin in range(0, len(terms), TERMS):  # bounded dense pieces
+        dense = []
+        for (at, rows), n in zip(spots, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, (begin, begin + TERMS))
+            m = np.zeros((n, min(TERMS, len(terms) - begin)), dtype=np.float32)
+            m[rows[lo:hi], at[lo:hi] - begin] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def _attached(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; labelled: key, cls, root."""
+    sizes = labelled.select("cls", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
+    parts = labelled.select("key", "root").distinct().join(sizes, "root")
+    hubs = (
+        parts.groupBy("key")
+        .agg(F.max(F.struct("size", (-F.col("root")).alias("low"))).alias("h"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("key", (-F.col("h.low")).alias("hub"), F.col("h.size").alias("size"))
+    )
+    attached = checkpointed(
+        labelled.join(hubs, "key").where("root != hub").select("hub", "size", "cls", "root").distinct()
+    )
+    shape = attached.groupBy("hub", "size").agg(F.count("*").alias("n")).select(
+        "hub",
+        F.ceil(F.col("n") / LEFT).cast("int").alias("rows"),
+        F.ceil((F.col("n") + F.col("size")) / RIGHT).cast("int").alias("columns"),
+    )
+    members = labelled.select("cls", "root").distinct().join(shape.select(F.col("hub").alias("root")), "root")
+    right = attached.select("hub", "cls", "root").unionByName(members.select(F.col("root").alias("hub"), "cls", "root"))
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    units = (
+        attached.join(shape, "hub")
+        .select("hub", own("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "cls", "root")
+        .unionByName(
+            right.join(shape, "hub").select(
+                "hub", every("rows").alias("i"), own("columns").alias("j"), F.lit(1).alias("side"), "cls", "root"
+            )
+        )
+    )
+    filled = units.join(texts, "cls").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
+
+    def compare(it):
+        shingler, unpack = Shingler(k), zstandard.ZstdDecompressor()
+        unit, sides = None, ([], [])
+
+        def links():
+            left, right = sides
+            if not left or not right:
+                return []
+            common = _counts([x[2] for x in left], [y[2] for y in right])
+            na, nb = (np.array([len(x[2]) for x in side]) for side in sides)
+            good = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+            ra, rb = (np.array([x[1] for x in side]) for side in sides)
+            good &= ra[:, None] != rb[None, :]
+            found = {}
+            for x, y in zip(*np.nonzero(good), strict=True):
+                found.setdefault((left[x][0], right[y][1]), right[y][0])
+            return [(a, b) for (a, _), b in found.items()]
+
+        for batch in it:
+            found = []
+            for hub, i, j, side, cls, root, packed in batch.itertuples(index=False):
+                if (hub, i, j) != unit:
+                    found += links()
+                    unit, sides = (hub, i, j), ([], [])
+                sides[side].append((cls, root, shingler(unpack.decompress(packed))))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
+
+    picked = filled.select("hub", "i", "j", "side", "cls", "root", "packed")
+    return picked.mapInPandas(compare, "a long, b long")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -176,15 +273,7 @@ def near_groups(
             "key", "cls", F.coalesce("root", "cls").alias("root")
         )
     )
-    # What is left: pairs in one bucket but different components, met over the bucket's components.
-    parts = labelled.select("key", "root").distinct()
-    many = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    mixed = labelled.join(many, "key")
-    other = parts.join(many, "key").select("key", F.col("root").alias("other"))
-    cross = mixed.join(other, "key").where("root < other").select("key", F.col("cls").alias("a"), "other")
-    met = mixed.select("key", F.col("root").alias("other"), F.col("cls").alias("b"))
-    left = cross.join(met, ["key", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = checkpointed(_verify(fit(left), texts, shingle, percent))
+    more = checkpointed(_attached(labelled, texts, shingle, percent))
     final = connected(held.unionByName(more))
     members = classes.select("set_id", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left").select(
         "set_id", F.coalesce("root", "cls").alias("component")
