@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontamination, exact_dedup, language_id, minhash_dedup, queries, sentencepiece_bpe
-from quirefold.llm.common import shared_dir
+from quirefold.llm.common import shared_dir, small_or_not
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id."""
-    kept = minhash_dedup.near_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = minhash_dedup.near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = small_or_not(gone)
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

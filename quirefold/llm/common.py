@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that each of a memo's two generations may hold; bounds a Python worker's memory.
 MEMO_LIMIT = 350_000
@@ -28,6 +29,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids that may be broadcast.
+BROADCAST_IDS = 200_000
+
+
+def small_or_not(ids: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if a count shows that it is small; else it takes part in an ordinary join."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 class Memo(dict):
     """A dict that computes missing values and holds at most two generations of `limit` entries.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed
+from quirefold.llm.common import checkpointed, small_or_not
 
 #: Most digests broadcast, and digests that the summary tracks.
 HEAVY_K = 1000
@@ -79,21 +79,21 @@ def exact_groups(
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Only the ids of kept rows meet the texts. Rows that repeat a kept (id, text) are reduced to one
-    in a separate branch that is empty unless such rows exist.
+    The ids of rows that go are broadcast if they are few, else joined, so that few copies cost no shuffle of the
+    texts. Rows that repeat a kept (id, text) are reduced to one in a branch that is empty unless such rows exist.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    winners = groups.where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    repeated = checkpointed(
-        groups.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").count().where("count > 1")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    groups = checkpointed(exact_groups(docs, id_col, text_col))
+    named = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")]
+    losers = small_or_not(groups.where("NOT (doc_id <=> keep_id)").select(*named).distinct())
+    repeated = small_or_not(
+        groups.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*named)
     )
     columns = docs.columns
     marked = docs.withColumns({"__own": F.col(id_col).cast("long"), "__text": digest(F.col(text_col))})
     same = lambda side: (F.col("__own").eqNullSafe(side["__id"])) & (F.col("__text") == side["__digest"])
-    kept = marked.join(winners, same(winners), "left_semi")
+    kept = marked.join(losers, same(losers), "left_anti")
+    if not repeated.head(1):
+        return kept.select(*columns)
     once = kept.join(repeated, same(repeated), "left_anti")
     many = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["__own", "__text"])
     return once.unionByName(many).select(*columns)
