@@ -29,6 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """An object that a Python worker keeps between tasks; another key's object is let go first.
+
+    Workers are reused from operator to operator, so at most one operator's memos stay in memory.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 #: Rows of ids that may be broadcast.
 BROADCAST_IDS = 200_000
 

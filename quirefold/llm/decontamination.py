@@ -264,4 +264,4 @@ def decontaminate(
         return pd.DataFrame(rows, columns=["text", "keep"])
 
     columns = [F.col("__clean.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.withColumn("__clean", clean(F.col(text_col))).where("__clean.keep").select(*columns)
+    return docs.withColumn("__clean", clean.asNondeterministic()(F.col(text_col))).where("__clean.keep").select(*columns)

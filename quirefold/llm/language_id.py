@@ -12,6 +12,7 @@ documents a language, chosen by a hash of the text; at most MODEL_GRAMS n-grams
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import worker_state
+
 TRAIN_DOCS, MODEL_GRAMS, MAX_LANGS = 1_000, 200_000, 500
 GRAM, ROUNDS, SMOOTH = 3, 12, 0.2
 #: Words whose likelihoods a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, proportions map<string,double>"
@@ -66,7 +69,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     column = {x: i for i, x in enumerate(langs)}
     np.add.at(table, (kept["gram"].map(at).to_numpy(dtype=int), kept["lang"].map(column).to_numpy(dtype=int)), kept["n"])
     table = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * len(table))) if langs else table
-    return {"langs": langs, "grams": at, "table": table.astype(np.float32)}
+    return {"key": uuid.uuid4().hex, "langs": langs, "grams": at, "table": table.astype(np.float32)}
 
 
 class Mixture:
@@ -145,7 +148,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
-        mixture = Mixture(shipped.value)
+        model = shipped.value
+        mixture = worker_state(model["key"], lambda: Mixture(model))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -165,26 +169,16 @@ def with_language(docs: DataFrame, model: dict, text_col: str = "text", out_col:
 
     @F.pandas_udf("string")
     def label(texts: pd.Series) -> pd.Series:
-        mixture = _mixture(shipped)
+        model = shipped.value
+        mixture = worker_state(model["key"], lambda: Mixture(model))
         out = []
         for text in texts:
             found = mixture.infer(text)
             out.append(max(found, key=lambda x: (found[x], [-ord(c) for c in x])) if found else UNKNOWN)
         return pd.Series(out, index=texts.index)
 
-    return docs.withColumn(out_col, label(F.col(text_col)))
-
-
-_MIXTURES: dict[int, Mixture] = {}
-
-
-def _mixture(shipped) -> Mixture:
-    """One mixture per worker and broadcast model."""
-    key = id(shipped.value)
-    if key not in _MIXTURES:
-        _MIXTURES.clear()
-        _MIXTURES[key] = Mixture(shipped.value)
-    return _MIXTURES[key]
+    # Not to be evaluated again for each use of the column.
+    return docs.withColumn(out_col, label.asNondeterministic()(F.col(text_col)))
 
 
 def fold(id_col: str, folds: int):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import Memo
+from quirefold.llm.common import Memo, worker_state
 
 MARK = "▁"  # fixed value: SentencePiece's sign for a space
 #: ASCII punctuation at which a text may split, if the vocabulary allows it.
@@ -173,16 +173,9 @@ class PieceModel:
         return "".join(out)
 
 
-_MODELS: dict[bytes, PieceModel] = {}
-
-
 def model_of(data: bytes) -> PieceModel:
     """One model per worker process."""
-    key = hashlib.sha256(data).digest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = PieceModel(data)
-    return _MODELS[key]
+    return worker_state(("pieces", hashlib.sha256(data).digest()), lambda: PieceModel(data))
 
 
 def read_model(path: str) -> bytes:
