@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that each of a memo's two generations may hold; bounds a Python worker's memory.
-MEMO_LIMIT = 350_000
+MEMO_LIMIT = 280_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ from quirefold.llm.common import worker_state
 TRAIN_DOCS, MODEL_GRAMS, MAX_LANGS = 1_000, 200_000, 500
 GRAM, ROUNDS, SMOOTH = 3, 12, 0.2
 #: Words whose likelihoods a worker remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, proportions map<string,double>"

@@ -2,7 +2,8 @@
 
 Only documents carry labels, so tokens are labelled from them: in a toxic document, a word is a toxic token if it
 is in the lexicon, that is if the distinct labelled texts show it far more often in toxic than in clean documents.
-The lexicon's counts cover all labelled rows. The two-state CRF (word features, transitions) is then fitted by
+The lexicon is counted on a bounded sample of
+labelled rows, LEXICON_DOCS documents. The two-state CRF (word features, transitions) is then fitted by
 gradient ascent on the token labels of a bounded sample, TRAIN_DOCS documents of either class.
 
 Scoring runs forward-backward over every whole text. A document's score joins the marginals of its tokens (the
@@ -20,8 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import checkpointed, small_or_not
+
 TOKEN = re.compile(r"[^\W_]+")
-TRAIN_DOCS, LEXICON, STEPS = 600, 5_000, 80
+#: Labelled documents (about) behind the lexicon and, of either class, the CRF; most words in the lexicon.
+LEXICON_DOCS, TRAIN_DOCS, LEXICON, STEPS = 60_000, 600, 5_000, 80
 #: A lexicon word is in this share of the toxic texts (and so many of them at least), and so many times
 #: likelier there than in clean ones. Its distinct contexts number this share of the richest word's, as words
 #: that many near copies of a few texts repeat have few contexts.
@@ -112,8 +116,8 @@ class Chain:
                 x += rate * (state[2 * k] / (1 - 0.9**i)) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**i)) + 1e-9)
 
 
-def _lexicon(labelled: DataFrame) -> tuple[list[str], int]:
-    """Words of toxic texts, from counts over all distinct labelled texts."""
+def _lexicon(labelled: DataFrame) -> list[str]:
+    """Words of toxic texts, from counts over the distinct labelled texts."""
 
     def words(batches):
         for batch in batches:
@@ -121,14 +125,15 @@ def _lexicon(labelled: DataFrame) -> tuple[list[str], int]:
                 found = list(set(TOKEN.findall(text.lower())))
                 yield pd.DataFrame({"word": found, "toxic": int(toxic)})
 
-    texts = labelled.groupBy("key").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    marked = checkpointed(labelled.select("doc_id", "key", "toxic"))
+    texts = marked.groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     sides = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sides.get(1, 0), sides.get(0, 0)
     if not bad:
-        return [], 0
+        return []
     # Copies of a text count once: only the row with the smallest id of each text speaks.
-    speakers = labelled.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    once = labelled.join(speakers, ["key", "doc_id"], "left_semi").select("text", "toxic")
+    speakers = small_or_not(texts.select("doc_id").distinct())
+    once = labelled.join(speakers, "doc_id", "left_semi").select("text", "toxic")
     counts = once.mapInPandas(words, "word string, toxic int").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f")
     )
@@ -149,7 +154,7 @@ def _lexicon(labelled: DataFrame) -> tuple[list[str], int]:
     spread = around.distinct().groupBy("word").agg(F.count("*").alias("n")).collect()  # at most LEXICON rows
     richest = max((r["n"] for r in spread), default=0)
     least = max(LEAST_DOCS, LEAST_CONTEXTS * richest)
-    return sorted(r["word"] for r in spread if r["n"] >= least), bad
+    return sorted(r["word"] for r in spread if r["n"] >= least)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -157,9 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = texts.join(marks, "doc_id").withColumn("key", F.xxhash64("text"))
-    lexicon, _ = _lexicon(labelled)
     sides = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lot = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(1_000_000)) / 1_000_000
+    # About LEXICON_DOCS labels whatever the input, so they may be broadcast and no text shuffles.
+    drawn = small_or_not(marks.where(lot < LEXICON_DOCS / max(1, sum(sides.values()))))
+    lexicon = _lexicon(texts.join(drawn, "doc_id").withColumn("key", F.xxhash64("text")))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, TRAIN_DOCS / max(1, sides.get(1, 0))).otherwise(TRAIN_DOCS / max(1, sides.get(0, 0)))
     sample = marks.where(spread < share)  # about 2 * TRAIN_DOCS rows, whatever the input
