@@ -170,9 +170,9 @@ class WarcReader(DataSourceReader):
         fs, root = _file_system(self.path)
         infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted((i.path, i.size) for i in infos if i.type == pafs.FileType.File and not i.base_name.startswith(("_", ".")) and ".warc" in i.base_name)
-        groups, size = [], self.split_bytes
+        groups, size = [], 0
         for path, n in files:
-            if size + n > self.split_bytes:
+            if not groups or size + n > self.split_bytes:
                 groups.append([])
                 size = 0
             groups[-1].append(path)
