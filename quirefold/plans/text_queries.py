@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import scripts, stats
-from quirefold.operators import compare, html_blocks, lines
+from quirefold.operators import compare, geometry, html_blocks, lines
 from quirefold.plans.registry import query
 from quirefold.session import table
 
@@ -239,3 +239,58 @@ def q_greedy_break(spark, sf_dir):
     """First-fit lines of 60 characters; sequential, so tested against a plain loop."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(stats.greedy_breaks(F.regexp_replace("text", "\n", " "), 60)).alias("line_no", "line"))
+
+
+@query("interval_gap", """
+WITH l AS (SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS n, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+s AS (SELECT doc_id, 3 * n AS b, 3 * n + i + 1 AS e FROM l WHERE n > 0),
+r AS (SELECT doc_id, b, max(e) OVER (PARTITION BY doc_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
+SELECT doc_id, CAST(b - reach AS BIGINT) AS gap, CAST(reach + (b - reach) / 2 AS DOUBLE) AS middle FROM r WHERE b > reach
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY b - reach DESC, reach) = 1""")
+def q_interval_gap(spark, sf_dir):
+    """Widest empty band among extents made of line lengths."""
+    size = F.length("line").cast("long")
+    spans = lines.split_lines(table(spark, sf_dir, "documents")).select("doc_id", (3 * size).alias("begin"), (3 * size + F.col("line_no") + 1).alias("end"))
+    return geometry.widest_gap(spans)
+
+
+@query("splice", """
+SELECT doc_id, substr(text, 1, 5) || '<cut>' || substr(text, 11) AS text, CAST(CASE WHEN n_chars <= 5 THEN n_chars WHEN n_chars >= 10 THEN n_chars END AS BIGINT) AS end_after FROM documents WHERE length(text) >= 10""")
+def q_splice(spark, sf_dir):
+    """Characters 5 to 10 replaced, and where the old end of the text lies now."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 10)
+    five, ten = F.lit(5), F.lit(10)
+    return docs.select("doc_id", geometry.splice(F.col("text"), five, ten, F.lit("<cut>")).alias("text"), geometry.remap(F.col("n_chars"), five, ten, F.lit(5)).cast("long").alias("end_after"))
+
+
+@query("order_moved", """
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 0) AS v FROM documents WHERE length(replace(text, chr(10), '')) > 0)
+SELECT a.doc_id AS a, b.doc_id AS b, list_sort(a.v) = list_sort(b.v) AS same_lines,
+ CAST(CASE WHEN list_sort(a.v) = list_sort(b.v) THEN len(list_filter(range(1, len(a.v) + 1), lambda i: a.v[i] <> b.v[i])) ELSE 0 END AS BIGINT) AS moved
+FROM l a JOIN l b ON b.doc_id = a.doc_id + 1""")
+def q_order_moved(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return geometry.order_moved(lines.split_lines(docs), docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")))
+
+
+@query("substitute_score", """
+WITH s AS (SELECT p_brand AS key, p_partkey AS candidate, abs(p_size - 20) + 2 * abs(p_partkey % 7 - 3) AS score FROM part)
+SELECT key, candidate AS best, CAST(score AS BIGINT) AS score, lead(candidate) OVER (PARTITION BY key ORDER BY score, candidate) AS runner_up FROM s
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY score, candidate) = 1""")
+def q_substitute_score(spark, sf_dir):
+    """Weighted penalty and best match; `part` only carries the numbers."""
+    score = (F.abs(F.col("p_size") - 20) + 2 * F.abs(F.col("p_partkey") % 7 - 3)).cast("long")
+    return geometry.best_match(table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("candidate"), score.alias("score")))
+
+
+@query("containment", """
+WITH b AS (SELECT ch, count(*) AS nb FROM (SELECT unnest(string_split(text, '')) AS ch FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)) GROUP BY 1),
+d AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY 1, 2)
+SELECT doc_id, round(sum(least(n, coalesce(nb, 0))) / sum(n), 6) AS containment FROM d LEFT JOIN b USING (ch) GROUP BY 1""")
+def q_containment(spark, sf_dir):
+    """Share of a document's characters that the first benchmark item holds."""
+    items = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("text"))
+    chars = compare.char_counts(items.withColumn("k", F.lit(0)), ["k"]).select("ch", F.col("n").alias("nb"))
+    own = compare.char_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+    share = F.sum(F.least("n", F.coalesce("nb", F.lit(0)))) / F.sum("n")
+    return own.join(chars, "ch", "left").groupBy("doc_id").agg(F.round(share, 6).alias("containment"))
