@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from quirefold.pdf.crypt import RIGHTS, Handler
 from quirefold.pdf.objects import End, Keyword, Name, PdfError, Reader, Ref, Stream, text_of
 from quirefold.sources import codecs
 
@@ -17,7 +18,7 @@ MATRIX = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 class Document:
     """Objects are parsed when asked for. `load_mode` is `followed` or `reconstructed`; `leniencies` lists what was tolerated."""
 
-    def __init__(self, data: bytes, recovery: bool = True):
+    def __init__(self, data: bytes, recovery: bool = True, password: str = ""):
         self.data, self.leniencies = data, []
         self.entries: dict[int, tuple] = {}
         self.trailer: dict = {}
@@ -26,6 +27,8 @@ class Document:
         self._cache: dict[int, Any] = {}
         self._members: dict[int, list] = {}
         self._found: dict[int, tuple[int, int]] | None = None
+        self.crypt: Handler | None = None
+        self._password = password
         self.start = data.find(b"%PDF-")
         if self.start < 0:
             if not recovery:
@@ -36,9 +39,12 @@ class Document:
             self._tolerate("header-offset")
         try:
             self._follow()
+            self._unlock()
             if not isinstance(self.resolve(self.trailer.get("Root")), dict):
                 raise PdfError("no catalog")
-        except (PdfError, ValueError, TypeError, IndexError, KeyError, RecursionError):
+        except (PdfError, ValueError, TypeError, IndexError, KeyError, RecursionError) as e:
+            if str(e) in ("wrong password", "another security handler"):
+                raise
             if not recovery:
                 raise PdfError("cross references can't be followed") from None
             self._reconstruct()
@@ -138,6 +144,7 @@ class Document:
                 continue
             if isinstance(found, dict):
                 self.trailer |= found
+        self._unlock()
         for num in sorted(self.entries):
             value = self.get(num)
             if isinstance(value, Stream) and value.dict.get("Type") == "ObjStm":
@@ -153,6 +160,15 @@ class Document:
                     self.trailer["Root"] = Ref(num, 0)
                     break
 
+    def _unlock(self) -> None:
+        """Set up decryption; objects read before are read again."""
+        encrypt = self.resolve(self.trailer.get("Encrypt"))
+        if isinstance(encrypt, dict):
+            self.crypt = None
+            self.crypt = Handler(self, encrypt, self._password)
+            self._cache.clear()
+            self._members.clear()
+
     # objects
 
     def _indirect(self, pos: int) -> tuple[int, Any]:
@@ -223,6 +239,9 @@ class Document:
                 value = members[entry[2]][1]
             else:
                 value = next((v for n, v in members if n == num), None)
+        locked = self.crypt and entry[0] == "at" and num != getattr(self.trailer.get("Encrypt"), "num", None)
+        if locked:
+            value = self.crypt.opened(value, Ref(num, entry[2]))
         self._cache[num] = value
         return value
 
@@ -282,9 +301,7 @@ class Document:
     def permissions(self) -> list[str] | None:
         """The granted advisory rights, or None if the file isn't encrypted."""
         bits = self.entry(self.trailer.get("Encrypt"), "P")
-        # Bit numbers of the rights.
-        names = {3: "print", 4: "modify", 5: "copy", 6: "annotate", 9: "fill", 10: "access", 11: "assemble", 12: "print_high"}
-        return [n for b, n in names.items() if bits >> (b - 1) & 1] if isinstance(bits, int) else None
+        return [n for n, b in RIGHTS.items() if bits >> (b - 1) & 1] if isinstance(bits, int) else None
 
     def is_linearized(self) -> bool:
         found = _HEADER.search(self.data, self.start, self.start + 1024)
