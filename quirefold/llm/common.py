@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that each of a memo's two generations may hold; bounds a Python worker's memory.
-MEMO_LIMIT = 280_000
+MEMO_LIMIT = 180_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +38,16 @@ _STATE: dict = {}
 def worker_state(key, make):
     """An object that a Python worker keeps between tasks; another key's object is let go first.
 
-    Workers are reused from operator to operator, so at most one operator's memos stay in memory.
+    Workers are reused from operator to operator, so at most one operator's memos stay in memory; what the last
+    one held is handed back to the system.
     """
     if key not in _STATE:
         _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
         _STATE[key] = make()
     return _STATE[key]
 
