@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontamination, exact_dedup, language_id, minhash_dedup, queries, sentencepiece_bpe
-from quirefold.llm.common import shared_dir, small_or_not
+from quirefold.llm.common import arrow_rows, shared_dir, small_or_not
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with arrow_rows(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

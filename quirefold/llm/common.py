@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = 1_000):
+    """Hand at most `most` rows at once to Python while queries run inside; texts are long, and both sides buffer whole batches."""
+    before = spark.conf.get(ARROW_ROWS)
+    if not 0 < int(before) <= most:
+        spark.conf.set(ARROW_ROWS, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 _STATE: dict = {}
 
 
