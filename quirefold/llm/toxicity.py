@@ -1,35 +1,41 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Only documents carry labels, so tokens are labelled from them: in a toxic document, a word is a toxic token if it
-is in the lexicon, that is if the distinct labelled texts show it far more often in toxic than in clean documents.
+is in the lexicon, that is if the distinct labelled texts show it far more often in toxic than in clean documents,
+beyond what chance gives the number of words tried. Near copies of a toxic text count as one text. Stems, the first
+letters of words outside the lexicon, enter it by the same test, so that rare forms and rare languages take part.
 The lexicon is counted on a bounded sample of
-labelled rows, LEXICON_DOCS documents. The two-state CRF (word features, transitions) is then fitted by
+labelled rows, LEXICON_DOCS documents. The two-state CRF (word and stem features, transitions) is then fitted by
 gradient ascent on the token labels of a bounded sample, TRAIN_DOCS documents of either class.
 
-Scoring runs forward-backward over every whole text. A document's score joins the marginals of its tokens (the
-probability that any is toxic) and maps it to the share of toxic documents that the training sample
-shows at that level; tokens with a marginal of at least a half form the offending spans.
+Scoring runs forward-backward over every whole text. A document's score joins the marginals of its tokens (minus the
+logarithm of the probability that none is toxic, as x / (1 + x)) and maps it to the share of toxic documents that the training sample
+shows at that level, by monotone regression; tokens with a marginal of at least a half form the offending spans.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed, small_or_not
+from quirefold.llm.common import Memo, checkpointed, small_or_not
+from quirefold.llm.minhash_dedup import near_groups
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Labelled documents (about) behind the lexicon and, of either class, the CRF; most words in the lexicon.
 LEXICON_DOCS, TRAIN_DOCS, LEXICON, STEPS = 60_000, 600, 5_000, 80
-#: A lexicon word is in this share of the toxic texts (and so many of them at least), and so many times
-#: likelier there than in clean ones. Its distinct contexts number this share of the richest word's, as words
-#: that many near copies of a few texts repeat have few contexts.
-LEAST_SHARE, LEAST_RATIO, LEAST_DOCS, LEAST_CONTEXTS = 0.01, 10.0, 5, 0.1
+#: A lexicon word is in so many toxic texts at least, near copies counted once, and so many times likelier there
+#: than in clean ones.
+LEAST_RATIO, LEAST_DOCS = 10.0, 5
+#: Letters in a stem.
+STEMS = range(4, 9)
+#: Ends a stem in the lexicon; no token holds it.
+STEM = "-"
 #: Marginals below this are no evidence.
 EVIDENCE = 0.05
 #: Tokens in a training sequence.
@@ -39,11 +45,6 @@ CHAIN_TOKENS = 1_000_000
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 
-def hash64(text: str) -> int:
-    """Signed 64-bit hash of a text."""
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "big", signed=True)
-
-
 class Chain:
     """Two-state chain; weights are log-potentials against the clean state."""
 
@@ -117,14 +118,7 @@ class Chain:
 
 
 def _lexicon(labelled: DataFrame) -> list[str]:
-    """Words of toxic texts, from counts over the distinct labelled texts."""
-
-    def words(batches):
-        for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                found = list(set(TOKEN.findall(text.lower())))
-                yield pd.DataFrame({"word": found, "toxic": int(toxic)})
-
+    """Words and stems of toxic texts, from counts over the distinct labelled texts."""
     marked = checkpointed(labelled.select("doc_id", "key", "toxic"))
     texts = marked.groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     sides = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -133,28 +127,51 @@ def _lexicon(labelled: DataFrame) -> list[str]:
         return []
     # Copies of a text count once: only the row with the smallest id of each text speaks.
     speakers = small_or_not(texts.select("doc_id").distinct())
-    once = labelled.join(speakers, "doc_id", "left_semi").select("text", "toxic")
-    counts = once.mapInPandas(words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f")
-    )
-    ratio = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("f") + 0.5) / (good + 1))
-    least = max(LEAST_DOCS, LEAST_SHARE * bad)
-    top = counts.where((F.col("t") >= least) & (ratio >= LEAST_RATIO)).orderBy(F.desc(ratio), "word").limit(LEXICON)
-    candidates = once.sparkSession.sparkContext.broadcast({r["word"] for r in top.select("word").collect()})
-
-    def contexts(batches):
-        for batch in batches:
-            found = set()
-            for text in batch["text"]:
-                words = ["", *TOKEN.findall(text.lower()), ""]
-                found.update((w, hash64(words[i] + " " + words[i + 2])) for i, w in enumerate(words[1:-1]) if w in candidates.value)
-            yield pd.DataFrame(sorted(found), columns=["word", "context"])
-
-    around = once.where("toxic = 1").select("text").mapInPandas(contexts, "word string, context long")
-    spread = around.distinct().groupBy("word").agg(F.count("*").alias("n")).collect()  # at most LEXICON rows
-    richest = max((r["n"] for r in spread), default=0)
-    least = max(LEAST_DOCS, LEAST_CONTEXTS * richest)
-    return sorted(r["word"] for r in spread if r["n"] >= least)
+    once = labelled.join(speakers, "doc_id", "left_semi").select("key", "text", "toxic")
+    # Near copies of a toxic text are one group, so that words they repeat don't look widespread.
+    near = near_groups(once.where("toxic = 1"), id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    near = small_or_not(near.distinct())
+    once = once.join(near, "key", "left").select("text", "toxic", F.coalesce("group", F.lit(0)).alias("group"))
+    bad = near.select("group").distinct().count()
+
+    def telling(features) -> set[str]:
+        """Features of toxic texts that chance doesn't explain; `features` gives those of a text's set of words."""
+
+        def rows(batches):
+            for batch in batches:
+                for text, toxic, group in zip(batch["text"], batch["toxic"], batch["group"], strict=True):
+                    found = list(features(set(TOKEN.findall(text.lower()))))
+                    if found:
+                        yield pd.DataFrame({"word": found, "toxic": int(toxic), "group": int(group)})
+
+        per = once.mapInPandas(rows, "word string, toxic int, group long").groupBy("word", "toxic", "group").agg(F.count("*").alias("n"))
+        sides = per.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("f"))
+        counts = checkpointed(sides)
+        t, f = F.col("t"), F.col("f")
+        ratio = ((t + 0.5) / (bad + 1)) / ((f + 0.5) / (good + 1))
+        # Chernoff's bound: fewer than one feature of all those tried is expected to get so far by chance.
+        base, part = bad / (bad + good), t / (t + f)
+        bits = t * F.log(part / base)
+        if good:
+            bits += F.when(f > 0, f * F.log((1 - part) / (1 - base))).otherwise(0.0)
+        tried = math.log(max(1, counts.count()))
+        kept = counts.where((t >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (bits >= tried))
+        return {r["word"] for r in kept.orderBy(F.desc(ratio), "word").limit(LEXICON).select("word").collect()}
+
+    whole = telling(lambda words: words)
+    shipped = once.sparkSession.sparkContext.broadcast(whole)
+    stems = telling(lambda words: {w[:k] for w in words - shipped.value for k in STEMS if len(w) > k})
+    return sorted(whole) + sorted(x + STEM for x in stems)
+
+
+def _coder(code: dict[str, int]) -> Memo:
+    """Feature of a word: its own, else that of its longest stem, else 0."""
+
+    def of(word: str) -> int:
+        found = code.get(word, 0)
+        return found or next((code[x] for k in reversed(STEMS) if len(word) > k and (x := word[:k] + STEM) in code), 0)
+
+    return Memo(of)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -172,29 +189,46 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = marks.where(spread < share)  # about 2 * TRAIN_DOCS rows, whatever the input
     picked = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").limit(4 * TRAIN_DOCS).collect()
     code = {w: i + 1 for i, w in enumerate(lexicon)}
+    coder = _coder(code)
     chain = Chain(len(lexicon) + 1)
     codes, lengths, y = [], [], []
     for text, toxic in picked:
         for line in text.lower().split("\n"):
-            found = [code.get(w, 0) for w in TOKEN.findall(line)]
+            found = [coder[w] for w in TOKEN.findall(line)]
             codes += found
             lengths += [min(TRAIN_TOKENS, len(found) - i) for i in range(0, len(found), TRAIN_TOKENS)]
             y += [int(toxic == 1 and c > 0) for c in found]
+    # Start from each feature's odds, so that words of clean texts too weigh less than certain ones.
+    bad_tokens = np.bincount(codes, weights=y, minlength=len(code) + 1) if codes else np.zeros(len(code) + 1)
+    all_tokens = np.bincount(codes, minlength=len(code) + 1) if codes else np.ones(len(code) + 1)
+    chain.emit = np.log((bad_tokens + 0.5) / (all_tokens - bad_tokens + 0.5))
     chain.fit(np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64), np.array(y, dtype=np.int64))
-    model = {"code": code, "chain": chain, "low": 0.0, "high": 1.0}
-    # Calibration: the share of toxic documents among those with and without a toxic token.
-    level = np.array([p for p, _ in (_joined(*x) for x in _decode(model, [t for t, _ in picked]))])
+    model = {"code": code, "chain": chain, "levels": [0.0], "shares": [0.0]}
+    # Calibration: the share of toxic documents at each level of evidence.
+    level = np.array([p for p, _ in (_joined(*x) for x in _decode(model, coder, [t for t, _ in picked]))])
     toxic = np.array([t for _, t in picked], dtype=float)
     prior = np.where(toxic == 1, sides.get(1, 0) / max(1, toxic.sum()), sides.get(0, 0) / max(1, len(toxic) - toxic.sum()))
     if len(level):
-        model["low"] = float((((1 - level) * toxic * prior).sum() + 0.5) / (((1 - level) * prior).sum() + 2))
-        model["high"] = float(((level * toxic * prior).sum() + 0.5) / ((level * prior).sum() + 1))
+        model["levels"], model["shares"] = _monotone(level, toxic, prior)
     return model
 
 
-def _decode(model: dict, texts: list[str]):
+def _monotone(level: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
+    """Levels and the shares of toxic documents there, never falling: adjacent violators are pooled."""
+    pools: list[list[float]] = []  # weight of toxic, weight of all, sum of weighted levels
+    for x in np.unique(level):
+        here = level == x
+        w = float(weight[here].sum())
+        pools.append([float((weight * toxic)[here].sum()), w, w * float(x)])
+        while len(pools) > 1 and pools[-1][0] * pools[-2][1] <= pools[-2][0] * pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return [s / w for _, w, s in pools], [(t + 0.5 / len(level)) / (w + 1 / len(level)) for t, w, _ in pools]
+
+
+def _decode(model: dict, coder: Memo, texts: list[str]):
     """Per text: marginals of its tokens. Texts are taken together up to CHAIN_TOKENS tokens."""
-    get, chain = model["code"].get, model["chain"]
+    get, chain = coder.__getitem__, model["chain"]
     group, size = [], 0
 
     def run():
@@ -208,7 +242,7 @@ def _decode(model: dict, texts: list[str]):
             yield p[i : i + n], n
 
     for text in texts:
-        group.append(np.array([get(w, 0) for w in TOKEN.findall(text.lower())], dtype=np.int64))
+        group.append(np.array(list(map(get, TOKEN.findall(text.lower()))), dtype=np.int64))
         size += len(group[-1])
         if size >= CHAIN_TOKENS:
             yield from run()
@@ -218,17 +252,16 @@ def _decode(model: dict, texts: list[str]):
 
 
 def _joined(p: np.ndarray, n: int) -> tuple[float, bool]:
-    """Probability that any token is toxic, and whether some marginal reaches a half.
+    """Evidence that any token is toxic, and whether some marginal reaches a half.
 
     Only marginals from EVIDENCE on are joined, so that the many tiny ones of a long text don't add up.
     """
     if not n:
         return 0.0, False
     top = float(p.max())
-    if top < EVIDENCE:
-        return top, False
-    strong = np.minimum(p[p >= EVIDENCE], 1 - 1e-12)
-    return float(-np.expm1(np.log1p(-strong).sum())), top >= 0.5
+    strong = np.minimum(p[p >= EVIDENCE], 1 - 1e-12) if top >= EVIDENCE else np.array([top])
+    evidence = float(-np.log1p(-strong).sum())
+    return evidence / (1 + evidence), top >= 0.5
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,18 +273,18 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def label(batches):
         m = shipped.value
-        low, high = m["low"], m["high"]
+        coder = _coder(m["code"])
         for batch in batches:
             texts = batch["text"].tolist()
             rows = []
-            for doc_id, text, (p, n) in zip(batch["doc_id"], texts, _decode(m, texts), strict=True):
+            for doc_id, text, (p, n) in zip(batch["doc_id"], texts, _decode(m, coder, texts), strict=True):
                 level, any_toxic = _joined(p, n)
                 spans = []
                 if any_toxic:
                     lowered = text.lower()
                     places = text if len(lowered) == len(text) else lowered
                     spans = [{"start": t.start(), "end": t.end(), "probability": float(q)} for t, q in zip(TOKEN.finditer(places.lower()), p.tolist(), strict=True) if q >= 0.5]
-                value = low + (high - low) * level
+                value = float(np.interp(level, m["levels"], m["shares"]))
                 rows.append((doc_id, value, int(value >= 0.5), spans))
             yield pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "spans"]).astype({"doc_id": "Int64"})
 

@@ -158,6 +158,28 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 
+def test_toxic_words_of_a_small_language(spark):
+    """A language with few toxic texts and many rare toxic words, beside one whose few toxic words are common."""
+    rng, plain = random.Random(7), {"en": [f"w{j}" for j in range(60)], "fr": [f"v{j}" for j in range(60)]}
+    rows, labels = [], []
+    for i in range(600):
+        lang = "fr" if i % 6 == 0 else "en"
+        toxic = int(i % 12 < 2)
+        bad = (["vile"] * 9 if lang == "en" else [f"sotise{rng.choice('abcdefgh')}" for _ in range(3)]) if toxic else []
+        words = rng.choices(plain[lang], k=60) + bad
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    more = spark.createDataFrame([(1, "v1 v2 sotisea v3"), (2, "v1 v2 v3"), (3, "w1 vile w2")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(more, model).collect()} == {1: 1, 2: 0, 3: 1}
+    # Words that near copies of one toxic text repeat are no evidence.
+    base = [f"c{j}" for j in range(300)]
+    copies = [(1000 + i, " ".join(base[:-1] + [f"end{i}", "vile"])) for i in range(30)]
+    model = toxicity.train(spark.createDataFrame(rows + copies, "doc_id long, text string"), spark.createDataFrame(labels + [(i, 1) for i, _ in copies], "doc_id long, toxic int"))
+    assert "vile" in model["code"] and not any(w in model["code"] for w in base)
+
+
 def test_html():
     w = html_text.Wrapper()
     page = "<header>Site</header><nav>a</nav><div class='ad'>x</div><div><h1>T</h1><p>One <b>bold</b>text<p>Two &amp; it<br>ic<ul><li>a<li>b</ul><form>f</form><section class='comments'><p>c</section></div><footer>f"
