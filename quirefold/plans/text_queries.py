@@ -131,6 +131,17 @@ def q_markdown(spark, sf_dir):
     return html_blocks.markdown(html_blocks.flow_blocks(table(spark, sf_dir, "pages")))
 
 
+@query("html_page_blocks")
+def q_html_page_blocks(spark, sf_dir):
+    """All blocks of whole pages; the SQL of html_flow_blocks takes only h1, p and li without attributes and inner tags."""
+    return html_blocks.page_blocks(table(spark, sf_dir, "pages"))
+
+
+@query("page_markdown")
+def q_page_markdown(spark, sf_dir):
+    return html_blocks.markdown(html_blocks.page_blocks(table(spark, sf_dir, "pages")))
+
+
 @query("metadata_disagreement", """
 WITH m AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages)
 SELECT page_id, title, heading FROM m WHERE title <> '' AND heading <> '' AND title <> heading""")

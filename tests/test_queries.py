@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import scripts, stats
-from quirefold.operators import compare, lines
+from quirefold.operators import compare, html_blocks, lines
 from quirefold.plans import registry
 from quirefold.session import TABLES
 
@@ -72,3 +72,45 @@ def test_greedy_breaks_like_a_loop(spark):
 def test_similarity(spark):
     pairs = spark.createDataFrame([(1, 2, "aab", "abb")], "a long, b long, text_a string, text_b string")
     assert tuple(compare.similarity(pairs).first()) == (1, 2, 0.666667, 0.666667)
+
+
+def test_page_blocks_hold_whole_pages(spark):
+    """Against the standard library's parser: no character of a page is lost, and every heading and item is one."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.raw, self.text, self.tags = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style", "title", "textarea", "noscript", "template", "iframe")
+            self.tags.append(tag)
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style", "title", "textarea", "noscript", "template", "iframe")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text.append(data)
+
+    got = {}
+    for r in registry.queries()["html_page_blocks"](spark, SF).orderBy("seq").collect():
+        got.setdefault(r["page_id"], []).append(r)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for p in pages:
+        reader = Reader()
+        reader.feed(p["html"])
+        reader.close()
+        mine = got.get(p["page_id"], [])
+        assert "".join("".join(r["text"] for r in mine).split()) == "".join("".join(reader.text).split())
+        assert sum(r["kind"] == "item" for r in mine) == reader.tags.count("li")
+        assert sum(r["kind"] == "heading" for r in mine) == sum(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in reader.tags)
+
+
+def test_page_blocks_of_odd_markup(spark):
+    html = "<h2 class=x>A <i>b</i></h2><p>One &amp; <b>two</b><p id='q'>Three<ul><li><a href='/'>Go</a><li>Stay</ul>"
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    rows = [tuple(r) for r in html_blocks.page_blocks(pages).orderBy("seq").collect()]
+    assert [r[2:] for r in rows] == [("heading", 2, "A b"), ("paragraph", None, "One & two"), ("paragraph", None, "Three"), ("item", None, "Go"), ("item", None, "Stay")]
+    assert html_blocks.markdown(html_blocks.page_blocks(pages)).first()["markdown"] == "## A b\n\nOne & two\n\nThree\n\n- Go\n\n- Stay"
