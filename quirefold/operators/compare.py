@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,43 @@ def char_counts(docs: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return docs.select(*keys, chars).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
 
 
+#: Items that a document is compared with at once.
+ITEM_BLOCK = 1_024
+
+
+def containment_in_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, containment): share of each document's characters, as a multiset, that each item holds.
+
+    Every document meets every item. Items are a stated query set: their character counts are broadcast and
+    compared in blocks. Documents without characters have no share and give no row.
+    """
+    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id").collect()
+    counted = [Counter(r["text"]) for r in rows]
+    column = {ch: i for i, ch in enumerate(sorted(set().union(*counted)))}
+    held = np.zeros((len(column), len(rows)), dtype=np.int64)
+    for j, counts in enumerate(counted):
+        for ch, n in counts.items():
+            held[column[ch], j] = n
+    ids = np.array([r["item_id"] for r in rows], dtype=np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast((column, held, ids))
+
+    def compare(batches):
+        column, held, ids = shipped.value
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                own = Counter(text)
+                known = [(column[ch], n) for ch, n in own.items() if ch in column]
+                spots, counts = (np.array([x[i] for x in known], dtype=np.int64) for i in (0, 1))
+                for at in range(0, len(ids) if text else 0, ITEM_BLOCK):
+                    part = slice(at, at + ITEM_BLOCK)
+                    common = np.minimum(held[spots, part], counts[:, None]).sum(axis=0)
+                    yield pd.DataFrame({"doc_id": doc_id, "item_id": ids[part], "common": common, "n": len(text)})
+
+    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = picked.mapInPandas(compare, "doc_id long, item_id long, common long, n long")
+    return found.select("doc_id", "item_id", F.round(F.col("common") / F.col("n"), 6).alias("containment"))
+
+
 def similarity(pairs: DataFrame) -> DataFrame:
     """(a, b, similarity, containment) of (a, b, text_a, text_b): shared characters as multisets.
 

@@ -305,3 +305,9 @@ def q_containment(spark, sf_dir):
     own = compare.char_counts(table(spark, sf_dir, "documents"), ["doc_id"])
     share = F.sum(F.least("n", F.coalesce("nb", F.lit(0)))) / F.sum("n")
     return own.join(chars, "ch", "left").groupBy("doc_id").agg(F.round(share, 6).alias("containment"))
+
+
+@query("containment_items")
+def q_containment_items(spark, sf_dir):
+    """Every document against every benchmark item; the SQL of containment takes the first item only."""
+    return compare.containment_in_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

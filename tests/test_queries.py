@@ -114,3 +114,15 @@ def test_page_blocks_of_odd_markup(spark):
     rows = [tuple(r) for r in html_blocks.page_blocks(pages).orderBy("seq").collect()]
     assert [r[2:] for r in rows] == [("heading", 2, "A b"), ("paragraph", None, "One & two"), ("paragraph", None, "Three"), ("item", None, "Go"), ("item", None, "Stay")]
     assert html_blocks.markdown(html_blocks.page_blocks(pages)).first()["markdown"] == "## A b\n\nOne & two\n\nThree\n\n- Go\n\n- Stay"
+
+
+def test_containment_in_every_item(spark):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
+    sets = [(i["item_id"], Counter(i["text"] or "")) for i in items]
+    expected = {(d["doc_id"], k): (Counter(d["text"]) & c).total() / len(d["text"]) for d in docs if d["text"] for k, c in sets}
+    got = {(r["doc_id"], r["item_id"]): r["containment"] for r in registry.queries()["containment_items"](spark, SF).collect()}
+    assert len(items) > 1 and got.keys() == expected.keys()
+    assert all(abs(got[k] - v) < 1e-6 for k, v in expected.items())
