@@ -228,10 +228,12 @@ def near_groups(
 
     A-Z is lower-cased, words are runs of anything but ASCII white space; a text of fewer than `shingle`
     words is one shingle, one without words (null too) has none and stands alone.
-    component_id is the smallest doc_id reachable over links of at least `percent` hundredths, kept the
+    component_id is the smallest doc_id reachable over links of at least `percent` hundredths (80 to 100), kept the
     row that has it. Rows that repeat an id share its fate if their sets are equal. Rows without
     an id are never linked and keep a null component. Other columns are ignored.
     """
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {PERCENT} to 100: the keys miss pairs below that")
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

@@ -103,6 +103,12 @@ def test_near_groups(spark, odd, none):
     assert minhash_dedup.near_groups(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 79, 101])
+def test_near_groups_rejects_what_its_keys_miss(none, percent):
+    with pytest.raises(ValueError):
+        minhash_dedup.near_groups(none, percent=percent)
+
+
 def test_blocks_count_common_shingles():
     import numpy as np
 
