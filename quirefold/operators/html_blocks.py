@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions import html_tree
 from quirefold.functions.scripts import escape_markdown
 
 PAIR = "<(h1|p|li)>([^<]*)</(h1|p|li)>"
@@ -25,25 +26,23 @@ def tree_blocks(source: str) -> list[tuple[str, int | None, str]]:
 
     Text in h1 to h6 is a heading with its level, text in li an item, any other text a paragraph.
     """
-    from quirefold.llm import html_text
-
     out: list[tuple[str, int | None, str]] = []
     run: list[str] = []
 
     def close(kind):
-        text = html_text.clean("".join(run))
+        text = html_tree.clean("".join(run))
         run.clear()
         if text:
             out.append((*kind, text))
 
-    todo: list = [(html_text.parse(source), ("paragraph", None), False)]
+    todo: list = [(html_tree.parse(source), ("paragraph", None), False)]
     while todo:
         part, kind, ends = todo.pop()
         if isinstance(part, str):
             run.append(part)
         elif ends:
             close(kind)
-        elif part.tag not in html_text.BLOCK and part.tag != "html":  # inline: its text belongs to the block around it
+        elif part.tag not in html_tree.BLOCK and part.tag != "html":  # inline: its text belongs to the block around it
             todo.extend((p, kind, False) for p in reversed(part.parts))
         else:
             tag, around = part.tag, kind
