@@ -3,39 +3,34 @@
 A page is parsed into a tree of its block elements; runs of equal siblings (paragraphs, list items) are one node of
 its skeleton. The most frequent skeleton of a host is the host's reference, and simple tree matching aligns
 every page's skeleton with it. Counts over all pages of the host tell, for each aligned node,
-which texts recur: a node whose text recurs on LEAST_SHARE of the host's pages, over LEAST_PAGES different
-articles, is template there; a node that varies is a slot, and slots become content. Elements that are boilerplate by
-their meaning (menus, forms, scripts, adverts by class, comments) are cut on any page, and a page with an
-article or main element is read inside it only, where recurring text isn't taken for template, as pages may be copies.
+which texts recur over how many different articles: constant texts are template there and go, a node that varies is a slot,
+and slots become content. Copies of a page are one article, so their text isn't taken for template.
 
-Only hosts with recurring nodes have a wrapper. Wrappers are broadcast if there are at most
-BROADCAST_HOSTS of them, else joined by host.
+Elements that are boilerplate by their meaning (menus, forms, scripts, adverts by class, comments) are cut on any page.
+A page with an article or main element is read inside it; authors repeat themselves there, so a text is constant if at least
+INNER_SHARE of the host's articles (INNER_PAGES at least) hold it, elsewhere if LEAST_SHARE of them (LEAST_PAGES) do.
+
+Hosts with constant texts have a wrapper. A host has at most leaves of an average page / LEAST_SHARE of them, as each
+is on that share of its pages. Wrappers are broadcast if there are at most BROADCAST_HOSTS of them, else joined by host,
+with a host's pages dealt to SALTS parts.
 """
 
 from __future__ import annotations
 
-import html
 import re
-from collections import deque
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed
-
-LEAST_SHARE, LEAST_PAGES, BROADCAST_HOSTS = 0.1, 3, 2_000
-MAX_CONSTANTS = 64
-# HTML elements by their part in a page, and names that mark boilerplate.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title xmp noscript template iframe".split())
-BLOCK = set(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
-    "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
-    "thead tr ul".split()
-)
-CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
+from quirefold.functions import html_tree
+from quirefold.functions.html_tree import Node, clean
+from quirefold.llm.common import checkpointed, small_or_not
+
+LEAST_SHARE, LEAST_PAGES, INNER_SHARE, INNER_PAGES = 0.1, 3, 0.5, 5
+BROADCAST_HOSTS, SALTS = 2_000, 32
+# Elements and names that mark boilerplate.
 OFF = set(
     "head script style noscript template nav footer aside form button select input textarea iframe svg canvas object "
     "dialog menu audio video map".split()
@@ -46,198 +41,188 @@ OFF_NAMES = set(
     "share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead toolbar comment comments "
     "disqus replies respond login search skip".split()
 )
+#: Names that mark boilerplate only alone or at the end of a compound (notice-period and search-results are content).
+ENDS_ONLY = set("notice notices alert search skip login respond related recommended promotion social share sharing menu".split())
 OFF_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu toolbar".split())
-#: Elements that a start tag ends if they are open, up to the listed container.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dd": ({"dd", "dt"}, {"dl"}),
-    "dt": ({"dd", "dt"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-}
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPACE = re.compile(r"\s+")
-SKELETON = "page_id long, host string, skeleton string, body long, node int, text_hash long"
-
-
-class Node:
-    """A block element: its label, whether it is boilerplate by meaning, and its parts in order."""
-
-    __slots__ = ("tag", "off", "parts", "index", "hidden_text")
-
-    def __init__(self, tag: str, off: bool = False):
-        self.tag, self.off, self.parts, self.index = tag, off, [], -1
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+TELLING = re.compile(r"class|id|role|hidden", re.I)
+SHAPES = "host string, skeleton string, body long, leaves array<struct<node:int,text_hash:long,inner:boolean>>"
 
 
 def _off(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OFF or (tag == "header" and not in_article):
         return True
-    if not attributes:
+    if not attributes or not TELLING.search(attributes):
         return False
     for name, a, b, c in ATTR.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name in ("class", "id"):
-            if any(x in OFF_NAMES for x in re.split(r"[\s_-]+", value)):
+            if any(_off_name(x) for x in value.split()):
                 return True
         elif name == "role":
             if value in OFF_ROLES:
                 return True
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
 
 
-def parse(source: str) -> Node:
-    """Block tree of a page; unclosed and misnested tags are mended as browsers do in the common cases."""
-    root = Node("html")
-    stack, articles = [root], 0
-    at, end = 0, len(source)
-    while at < end:
-        m = TOKEN.match(source, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            text = m.group()
-            if text[0] != "<" or text == "<":
-                stack[-1].parts.append(text)
-            continue
-        tag = tag.lower()
-        if m.group(1):
-            if tag == "br":
-                stack[-1].parts.append(" ")
-            elif any(n.tag == tag for n in stack[1:]):
-                while stack[-1].tag != tag:
-                    articles -= stack.pop().tag in ("article", "main")
-                articles -= stack.pop().tag in ("article", "main")
-            continue
-        if tag in ("html", "body"):
-            continue
-        attributes = m.group(3)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = close.end() if close else end
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                stack[-1].parts.append(Node("hr"))
-            elif tag in ("br", "wbr"):
-                stack[-1].parts.append(" " if tag == "br" else "")
-            continue
-        off = _off(tag, attributes, articles > 0)
-        if tag not in BLOCK and not off:
-            continue  # an inline element: its text belongs to the block around it
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack[-3:]):
-            while stack[-1].tag != "p":
-                stack.pop()
-            stack.pop()
-        elif tag in IMPLIED:
-            ends, stop = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-        node = Node(tag, off)
-        stack[-1].parts.append(node)
-        if attributes.rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        stack.append(node)
-        articles += tag in ("article", "main")
-    return root
-
+def _off_name(name: str) -> bool:
+    """A class or id that marks boilerplate: by its last part, or by its first one if that is plain enough."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    return bool(parts) and (parts[-1] in OFF_NAMES or (parts[0] in OFF_NAMES and parts[0] not in ENDS_ONLY))
 
-def clean(text: str) -> str:
-    """Character references decoded, white space as single spaces, trimmed."""
-    return SPACE.sub(" ", html.unescape(text)).strip()
 
-
-def skeleton(node: Node, counter: list[int]) -> str:
-    """Nested labels with runs of equal siblings collapsed; numbers the nodes in pre-order, a run as one."""
-    node.index = counter[0]
-    counter[0] += 1
-    out, before, first = [], None, None
-    for part in node.parts:
-        if isinstance(part, str):
-            continue
-        mark = counter[0]
-        own = skeleton(part, counter)
-        if own == before:
-            counter[0] = mark
-            _renumber(part, first)
-        else:
-            out.append(own)
-            before, first = own, part
-    label = f"{node.tag}{'!' if node.off else ''}"
-    return f"{label}({','.join(out)})" if out else label
-
-
-def _renumber(node: Node, like: Node) -> None:
-    """Give a node of a run the numbers of the run's first node; both have one skeleton."""
-    todo = deque([(node, like)])
-    while todo:
-        a, b = todo.popleft()
-        a.index = b.index
-        mine = [x for x in a.parts if not isinstance(x, str)]
-        theirs = [x for x in b.parts if not isinstance(x, str)]
-        known = {}
-        for y in theirs:
-            known.setdefault(_label(y), []).append(y)
-        todo.extend((x, (known.get(_label(x)) or [y])[0]) for x, y in zip(mine, theirs + theirs[-1:] * len(mine), strict=False))
+def parse(source: str) -> Node:
+    """Block tree of a page with its boilerplate elements marked."""
+    return html_tree.parse(source, _off)
 
 
 def _label(node: Node) -> str:
     return node.tag + "!" * node.off
 
 
-def read_skeleton(text: str) -> tuple:
-    """(label, number, children) of a skeleton's text."""
-    at = number = 0
-
-    def one():
-        nonlocal at, number
-        start = at
-        while at < len(text) and text[at] not in "(),":
-            at += 1
-        label, own, children = text[start:at], number, []
-        number += 1
-        if at < len(text) and text[at] == "(":
-            at += 1
-            while True:
-                children.append(one())
-                at += 1
-                if text[at - 1] == ")":
-                    break
-        return label, own, children
-
-    return one()
-
-
-def match_trees(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the largest order-keeping match of two trees whose roots agree, as pairs of numbers."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[2], b[2]
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            pairs[i, j] = own = match_trees(x[i - 1], y[j - 1])
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + own[0])
-    found, i, j = [(a[1], b[1])], len(x), len(y)
-    while i and j:
-        own = pairs[i, j]
-        if own[0] and score[i][j] == score[i - 1][j - 1] + own[0]:
-            found += own[1]
-            i, j = i - 1, j - 1
-        elif score[i][j] == score[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return score[len(x)][len(y)] + 1, found
+def skeleton(root: Node) -> str:
+    """Nested labels with runs of equal siblings collapsed; numbers the nodes in pre-order, a run as one."""
+    kinds: dict[tuple, int] = {}  # shapes by (label, shapes of children)
+    shapes: list[tuple] = []
+    sizes: list[int] = []
+    kind_of: dict[int, int] = {}
+    order = list(_walk(root))
+    for node in reversed(order):  # children before parents
+        inner: list[int] = []
+        for part in node.parts:
+            if not isinstance(part, str):
+                k = kind_of[id(part)]
+                if not inner or inner[-1] != k:
+                    inner.append(k)
+        key = (_label(node), *inner)
+        if key not in kinds:
+            kinds[key] = len(shapes)
+            shapes.append(key)
+            sizes.append(1 + sum(sizes[k] for k in inner))
+        kind_of[id(node)] = kinds[key]
+    root.index = 0
+    for node in order:  # parents before children
+        at, before = node.index + 1, None
+        for part in node.parts:
+            if isinstance(part, str):
+                continue
+            k = kind_of[id(part)]
+            if before is not None and k != before:
+                at += sizes[before]
+            part.index, before = at, k
+    out: list[str] = []
+    todo: list = [kind_of[id(root)]]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+            continue
+        out.append(shapes[k][0])
+        if len(shapes[k]) > 1:
+            todo.append(")")
+            for x in reversed(shapes[k][1:]):
+                todo += [x, ","]
+            todo[-1] = "("
+    return "".join(out)
+
+
+class Tree:
+    """A skeleton read back: labels and children by number, and equal subtrees under one shape."""
+
+    __slots__ = ("labels", "children", "shape", "sizes")
+
+    def __init__(self, text: str, shapes: dict[tuple, int]):
+        self.labels: list[str] = []
+        self.children: list[list[int]] = []
+        open_nodes: list[int] = []
+        for mark, label in re.findall(r"([(),]|^)([^(),]*)", text):
+            if mark == ")":
+                open_nodes.pop()
+            if mark == "(":
+                open_nodes.append(len(self.labels) - 1)
+            if label:
+                if open_nodes:
+                    self.children[open_nodes[-1]].append(len(self.labels))
+                self.labels.append(label)
+                self.children.append([])
+        n = len(self.labels)
+        self.shape, self.sizes = [0] * n, [1] * n
+        for i in range(n - 1, -1, -1):
+            key = (self.labels[i], *(self.shape[c] for c in self.children[i]))
+            self.shape[i] = shapes.setdefault(key, len(shapes))
+            self.sizes[i] += sum(self.sizes[c] for c in self.children[i])
+
+
+def match_trees(a: str, b: str) -> list[tuple[int, int]]:
+    """Simple tree matching: a largest order-keeping match of two skeletons, as pairs of numbers.
+
+    Equal subtrees at the front or the back of two rows of siblings are matched outright, as no match of
+    theirs is larger; the rest is the usual dynamic program. Works off lists, so depth is no limit.
+    """
+    shapes: dict[tuple, int] = {}
+    x, y = Tree(a, shapes), Tree(b, shapes)
+    if not x.labels or not y.labels or x.labels[0] != y.labels[0]:
+        return []
+    done: dict[tuple[int, int], int] = {}
+    rows: dict[tuple[int, int], tuple] = {}
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo[-1]
+        if (i, j) in done:
+            todo.pop()
+            continue
+        if x.shape[i] == y.shape[j]:
+            done[i, j] = x.sizes[i]
+            todo.pop()
+            continue
+        if (i, j) not in rows:
+            p, q = x.children[i], y.children[j]
+            front = 0
+            while front < min(len(p), len(q)) and x.shape[p[front]] == y.shape[q[front]]:
+                front += 1
+            back = 0
+            while back < min(len(p), len(q)) - front and x.shape[p[-1 - back]] == y.shape[q[-1 - back]]:
+                back += 1
+            rows[i, j] = (p[front : len(p) - back], q[front : len(q) - back], p[:front] + p[len(p) - back :], q[:front] + q[len(q) - back :])
+            todo += [(u, v) for u in rows[i, j][0] for v in rows[i, j][1] if x.labels[u] == y.labels[v] and (u, v) not in done]
+            continue
+        p, q, same, _ = rows[i, j]
+        table = _best(p, q, done)
+        done[i, j] = 1 + sum(x.sizes[u] for u in same) + table[len(p)][len(q)]
+        todo.pop()
+    found, todo = [], [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        found.append((i, j))
+        if x.shape[i] == y.shape[j]:
+            todo.extend(zip(x.children[i], y.children[j], strict=True))
+            continue
+        p, q, same, other = rows[i, j]
+        todo.extend(zip(same, other, strict=True))
+        table, u, v = _best(p, q, done), len(p), len(q)
+        while u and v:
+            own = done.get((p[u - 1], q[v - 1]), 0)
+            if own and table[u][v] == table[u - 1][v - 1] + own:
+                u, v = u - 1, v - 1
+                todo.append((p[u], q[v]))
+            elif table[u][v] == table[u - 1][v]:
+                u -= 1
+            else:
+                v -= 1
+    return found
+
+
+def _best(p: list[int], q: list[int], known: dict[tuple[int, int], int]) -> list[list[int]]:
+    """Largest sums of matches over prefixes of two rows of siblings."""
+    table = [[0] * (len(q) + 1)]
+    for u in p:
+        above, row = table[-1], [0]
+        for k, v in enumerate(q):
+            row.append(max(above[k + 1], row[k], above[k] + known.get((u, v), 0)))
+        table.append(row)
+    return table
 
 
 def whole_text(node: Node) -> str:
@@ -315,91 +300,91 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-class Wrapper:
-    """A host's reference skeleton and the recurring (node, text hash) pairs."""
+class Aligner:
+    """Alignments of skeletons with references, remembered in a bounded memo."""
 
     def __init__(self):
-        self.trees: dict[str, tuple] = {}
         self.maps: dict[tuple[str, str], dict[int, int]] = {}
 
-    def align(self, page: str, reference: str) -> dict[int, int]:
+    def __call__(self, page: str, reference: str) -> dict[int, int]:
         key = (page, reference)
         if key not in self.maps:
-            if len(self.maps) > 20_000:
+            if len(self.maps) > 5_000:
                 self.maps.clear()
-                self.trees.clear()
-            for s in key:
-                if s not in self.trees:
-                    self.trees[s] = read_skeleton(s)
-            self.maps[key] = dict(match_trees(self.trees[page], self.trees[reference])[1])
+            self.maps[key] = dict(match_trees(page, reference))
         return self.maps[key]
 
-    def extract(self, source: str, reference: str | None, constants: set[tuple[int, int]]) -> str:
-        root = parse(source)
-        roots = main_roots(root)
-        template: set[int] = set()
-        if reference and roots == [root]:
-            to = self.align(skeleton(root, [0]), reference)
-            for n in _walk(root):
-                if n is not root and n.index in to and (to[n.index], text_hash(whole_text(n))) in constants:
-                    template.add(id(n))
-        return "\n\n".join(t for r in roots for t in blocks(r, template))
+
+def extract_text(source: str, align: Aligner, reference: str | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """Main text of a page, less what a host's wrapper (reference skeleton, constant (node, text hash) pairs) marks as template."""
+    root = parse(source)
+    roots = main_roots(root)
+    template: set[int] = set()
+    if reference and constants:
+        to = align(skeleton(root), reference)
+        spots = {node for node, _ in constants}
+        for n in _walk(root):
+            if n is not root and to.get(n.index) in spots and (to[n.index], text_hash(whole_text(n))) in constants:
+                template.add(id(n))
+    return "\n\n".join(t for r in roots for t in blocks(r, template))
 
 
-def _leaves(it):
-    """For each page one row per skeleton node that bears text of its own."""
+def _shapes(it):
+    """For each page its skeleton, a hash of its article, and the nodes that bear text of their own."""
     for batch in it:
         rows = []
-        for page_id, host, source in zip(batch["page_id"], batch["host"], batch["html"], strict=True):
+        for host, source in zip(batch["host"], batch["html"], strict=True):
             root = parse(source)
-            shape = skeleton(root, [0])
+            shape = skeleton(root)
             roots = main_roots(root)
             inside = {id(n) for r in roots if r is not root for n in _walk(r)}
             body = text_hash("\n".join(t for r in roots for t in blocks(r, set())))
-            rows.append((page_id, host, shape, body, -1, 0))
-            seen = set()
+            seen: set[tuple] = set()
+            off: set[int] = set()
             for n in _walk(root):
-                if n is root or id(n) in inside or n.off:
-                    continue
-                if any(isinstance(p, str) and not p.isspace() for p in n.parts):
-                    key = (n.index, text_hash(whole_text(n)))
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append((page_id, host, shape, body, *key))
-        yield pd.DataFrame(rows, columns=["page_id", "host", "skeleton", "body", "node", "text_hash"]).astype({"page_id": "Int64"})
+                if n.off or id(n) in off:
+                    off.update(id(p) for p in n.parts if not isinstance(p, str))
+                elif n is not root and any(isinstance(p, str) and not p.isspace() for p in n.parts):
+                    if inside and id(n) not in inside:
+                        continue  # not read anyway
+                    seen.add((n.index, text_hash(whole_text(n)), id(n) in inside))
+            rows.append((host, shape, body, [{"node": a, "text_hash": b, "inner": c} for a, b, c in seen]))
+        yield pd.DataFrame(rows, columns=["host", "skeleton", "body", "leaves"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, reference, constants) of hosts that have recurring nodes, from all pages (page_id, host, html)."""
-    rows = pages.select("page_id", "host", "html").mapInPandas(_leaves, SKELETON)
-    # Distinct articles, so that copies of a page don't make its text a template; combined map-side.
-    counts = rows.groupBy("host", "skeleton", "node", "text_hash").agg(
-        F.approx_count_distinct("body").alias("bodies"), F.count("*").alias("n")
-    )
-    counts = checkpointed(counts)
-    shapes = counts.where("node = -1")
-    reference = shapes.groupBy("host").agg(
-        F.max(F.struct("n", "skeleton")).getField("skeleton").alias("reference"), F.sum("n").alias("pages")
-    )
-    # Only texts that could pass the limits go on; skeletons of a host are merged over the alignment.
-    texts = counts.where("node >= 0").join(reference, "host").select(
-        "host", "reference", "pages", "skeleton", "node", "text_hash", "bodies", "n"
+    """(host, reference, constants) of hosts that have constant texts, from all pages (host, html)."""
+    shapes = pages.select("host", "html").mapInPandas(_shapes, SHAPES)
+    # Copies of an article count once; min() picks its skeleton and leaves, combined map-side.
+    once = checkpointed(shapes.groupBy("host", "body").agg(F.min(F.struct("skeleton", "leaves")).alias("p")).select("host", "p.skeleton", "p.leaves"))
+    kinds = once.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
+    reference = kinds.groupBy("host").agg(
+        F.max(F.struct("n", "skeleton")).getField("skeleton").alias("reference"), F.sum("n").alias("articles")
+    ).where(F.col("articles") >= LEAST_PAGES)
+    # Texts that can't reach the limits under any alignment go first: by text alone, on the host.
+    leaves = once.select("host", "skeleton", F.explode("leaves").alias("leaf")).select("host", "skeleton", "leaf.*")
+    counts = checkpointed(leaves.groupBy("host", "skeleton", "node", "text_hash", "inner").agg(F.count("*").alias("n")))
+    often = F.col("n") >= F.when(F.col("inner"), F.greatest(F.lit(INNER_PAGES), INNER_SHARE * F.col("articles"))).otherwise(
+        F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * F.col("articles"))
     )
+    could = counts.groupBy("host", "text_hash", "inner").agg(F.sum("n").alias("n")).join(small_or_not(reference), "host").where(often)
+    texts = counts.join(could.drop("n"), ["host", "text_hash", "inner"])
 
-    def align(it):
-        wrapper = Wrapper()
+    def aligned(it):
+        align = Aligner()
         for batch in it:
-            to = [wrapper.align(s, r).get(n, -1) for s, r, n in zip(batch["skeleton"], batch["reference"], batch["node"], strict=True)]
+            to = [align(s, r).get(n, -1) for s, r, n in zip(batch["skeleton"], batch["reference"], batch["node"], strict=True)]
             yield batch.drop(columns=["skeleton"]).assign(node=pd.Series(to, dtype="int32", index=batch.index))
 
-    aligned = texts.mapInPandas(align, "host string, reference string, pages long, node int, text_hash long, bodies long, n long")
+    columns = "host string, reference string, articles long, node int, text_hash long, inner boolean, n long"
+    mapped = texts.select("host", "reference", "articles", "skeleton", "node", "text_hash", "inner", "n").mapInPandas(aligned, columns)
     constant = (
-        aligned.where("node >= 0")
-        .groupBy("host", "reference", "pages", "node", "text_hash")
-        .agg(F.sum("bodies").alias("bodies"), F.sum("n").alias("n"))
-        .where((F.col("bodies") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages")))
+        mapped.where("node >= 0")
+        .groupBy("host", "reference", "articles", "node", "text_hash", "inner")
+        .agg(F.sum("n").alias("n"))
+        .where(often)
     )
-    return constant.groupBy("host", "reference").agg(F.collect_list(F.struct("node", "text_hash")).alias("constants"))
+    return constant.groupBy("host", "reference").agg(F.collect_set(F.struct("node", "text_hash")).alias("constants"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -414,19 +399,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     ).withColumn("host", host_of(F.col("url")))
     wrappers = checkpointed(induce(source))
+    known: dict[str, tuple] = {}
     if wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        wrappers = F.broadcast(wrappers)
-    joined = source.join(wrappers, "host", "left")
+        known = {r["host"]: (r["reference"], frozenset((c["node"], c["text_hash"]) for c in r["constants"])) for r in wrappers.collect()}
+        joined = source.withColumns({"reference": F.lit(None).cast("string"), "constants": F.lit(None).cast("array<struct<node:int,text_hash:long>>")})
+    else:
+        salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    shipped = pages.sparkSession.sparkContext.broadcast(known)
 
     def texts(it):
-        wrapper = Wrapper()
+        align, near = Aligner(), {}
         for batch in it:
             found = []
-            for source_text, reference, constants in zip(batch["html"], batch["reference"], batch["constants"], strict=True):
-                known = {(c["node"], c["text_hash"]) for c in constants} if reference is not None else set()
-                found.append(wrapper.extract(source_text, reference, known))
+            for host, source_text, reference, constants in zip(batch["host"], batch["html"], batch["reference"], batch["constants"], strict=True):
+                wrapper = shipped.value.get(host) or (None, frozenset())
+                if reference is not None:
+                    if host not in near:
+                        near.clear()  # pages come by host
+                        near[host] = (reference, frozenset((c["node"], c["text_hash"]) for c in constants))
+                    wrapper = near[host]
+                found.append(extract_text(source_text, align, *wrapper))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": found, "n_chars": [len(t) for t in found]})
 
-    return joined.select("page_id", "url", "html", "reference", "constants").mapInPandas(
+    return joined.select("page_id", "url", "host", "html", "reference", "constants").mapInPandas(
         texts, "page_id long, url string, text string, n_chars long"
     )

@@ -187,21 +187,80 @@ def test_toxic_words_of_a_small_language(spark):
 
 
 def test_html():
-    w = html_text.Wrapper()
+    read = lambda page: html_text.extract_text(page, html_text.Aligner())
     page = "<header>Site</header><nav>a</nav><div class='ad'>x</div><div><h1>T</h1><p>One <b>bold</b>text<p>Two &amp; it<br>ic<ul><li>a<li>b</ul><form>f</form><section class='comments'><p>c</section></div><footer>f"
-    assert w.extract(page, None, set()) == "T\n\nOne boldtext\n\nTwo & it ic\n\na\n\nb"
-    assert w.extract("", None, set()) == ""
+    assert read(page) == "T\n\nOne boldtext\n\nTwo & it ic\n\na\n\nb"
+    assert read("") == ""
+    assert read("<div><p title=it's>one</p><p>two</p><p>it's three</p></div>") == "one\n\ntwo\n\nit's three"
+    assert read("<div class='notice-period'>a</div><div class='site-nav'>b</div><div data-hidden='x' id='search-results'>c</div><p hidden>d") == "a\n\nc"
+    assert read("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
+    assert read("<p>" + "long " * 200_000) == ("long " * 200_000).strip()
+
+
+ARTICLE = "<html><article><h1>T{0}</h1><p>Body {0}</p><p>Join our list</p><p>More {0}</p></article></html>"
+
+
+def test_wrapper_acts_in_articles(spark):
+    """Constant text inside articles goes, but not that of copies of a page, nor what a few articles share."""
+    schema = "page_id long, url string, html string, host string, salt int"
+    rows = [(i, f"http://h.example/{i}", ARTICLE.format(i), "x", 1) for i in range(8)]
+    rows += [(50 + i, f"http://copies.example/{i}", ARTICLE.format("same"), "x", 1) for i in range(8)]
+    rows += [(90 + i, f"http://few.example/{i}", f"<article><p>{'Twice' if i < 3 else i}</p><p>Own {i}</p></article>", "x", 1) for i in range(12)]
+    rows += [(1, "http://h.example/1", ARTICLE.format(1), "x", 1), (None, None, None, None, None), (7, "no url", "", None, 0)]
+    rows += [(200, "http://h.example/deep", "<div>" * 4_000 + "<p>x" + "</div>" * 4_000, None, 0)]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and text[3] == "T3\n\nBody 3\n\nMore 3" and "Join our list" in text[51]
+    assert text[90] == "Twice\n\nOwn 0" and text[None] == "" and text[7] == "" and text[200] == "x"
+    assert "Join our list" in html_text.extract_text(ARTICLE.format(3), html_text.Aligner())
+
+
+def test_many_hosts_are_joined(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i}", ARTICLE.format(i)) for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 1)
+    assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == few and few[5] == "T5\n\nBody 5\n\nMore 5"
 
 
 def test_wrapper_drops_what_recurs(spark, none):
     rows = [(i, f"http://h.example/{i}", f"<div>Fixed line</div><div><p>Body {i}</p></div>") for i in range(6)] + [(9, None, None)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Body 3" and got[9] == ""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got[3] == "Body 3" and got[9] == "" and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_trees_match_by_brute_force():
+    rng = random.Random(2)
+
+    def grow(depth):
+        kids = [grow(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+        kids = [k for i, k in enumerate(kids) if not i or k != kids[i - 1]]
+        return (rng.choice("ab"), tuple(kids))
+
+    def text(t):
+        return t[0] + (f"({','.join(map(text, t[1]))})" if t[1] else "")
+
+    def plain(a, b):
+        """Simple tree matching by trying every choice."""
+        if a[0] != b[0]:
+            return 0
+
+        def row(p, q):
+            if not p or not q:
+                return 0
+            return max(row(p[1:], q), row(p, q[1:]), plain(p[0], q[0]) + row(p[1:], q[1:]))
 
+        return 1 + row(a[1], b[1])
 
-def test_trees_match_in_order():
-    a, b = html_text.read_skeleton("r(a,b(c),d)"), html_text.read_skeleton("r(b(c),x,d)")
-    assert html_text.match_trees(a, b)[0] == 4
+    assert len(html_text.match_trees("r(a,b(c),d)", "r(b(c),x,d)")) == 4
+    for _ in range(300):
+        a, b = grow(3), grow(3)
+        found = html_text.match_trees(text(a), text(b))
+        assert len(found) == plain(a, b) == len({i for i, _ in found}) == len({j for _, j in found})
+    source = html_text.parse("<div><p>a<p>b<p>c<ul><li>x</ul><p>d</div>")
+    assert html_text.skeleton(source) == "html(div(p,ul(li),p))"
+    assert [n.index for n in html_text._walk(source)] == [0, 1, 2, 2, 2, 3, 4, 5]
 
 
 def test_warc_round_trip(spark, tmp_path):
