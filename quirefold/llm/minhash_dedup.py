@@ -7,13 +7,17 @@
    chunk, each the exact 64 bits of the other four values: such pairs are guaranteed to share a key. At a
    similarity of 0.8 a chunk agrees that far with probability 0.74, so a pair with no shared
    key has probability 0.26 ** 10 < 2e-6; above 0.8 it falls off quickly.
-3. Pairs are not expanded inside a bucket. First every class meets the smallest class of its buckets, in
-   the bucket it shares most keys with (a star; one verification a class). Links that hold give
-   components. What is left are pairs that share a bucket but lie in different components: in each such bucket
+3. Pairs are not expanded inside a bucket. In each of up to ROUNDS star rounds, every bucket that still spans
+   components names a pivot, a member of the component that holds most of the bucket; each class of another
+   component meets one pivot, that with which it shares most keys (one verification a class and round). Links
+   that hold merge components, and buckets inside one component leave. The rounds end when they bring few
+   links; what they take is in proportion to the classes left.
+   What is left then are pairs that share a bucket but lie in different components: in each such bucket
    the largest component is the hub, and the classes of the others attach to it. A hub's attached classes are
    compared with its members and with each other, in blocks of bounded size, each a task's unit of work
    that counts common shingles by matrix products and emits one link per class and component at most. That
-   covers every pair of every bucket but those inside one component, which can't change the components.
+   covers every pair of every bucket but those inside one component, which can't change the components. Its
+   rows are copied once a block (of LEFT and RIGHT classes), its arithmetic is quadratic in what no round linked.
 4. Links are confirmed on the full shingle sets, recomputed from the packed texts of the classes concerned.
 """
 
@@ -26,16 +30,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed
+from quirefold.llm.common import checkpointed, small_or_not
 from quirefold.llm.components import connected
 from quirefold.llm.words import WordHashes, mix, windows
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Similarity in hundredths, and words in a shingle, unless a caller says otherwise.
 PERCENT, SHINGLE = 80, 5
-#: Classes on either side of a block of comparisons, and shingles in a dense piece of it.
-LEFT, RIGHT, TERMS = 256, 1024, 8192
-SIGNED = "doc_id long, n_shingles long, set_id binary, keys array<long>"
+#: Star rounds at most; they end sooner once fewer than this share of a round's verifications hold.
+ROUNDS, WORTHWHILE = 6, 0.04
+#: Classes on either side of a block of comparisons, shingles on either side, and shingles in a dense piece of it.
+LEFT, RIGHT, BLOCK_SHINGLES, TERMS = 1024, 2048, 1_000_000, 2048
+SIGNED = "doc_id long, text_key long, n_shingles long, set_id binary, keys array<long>"
 
 
 class Shingler:
@@ -85,15 +91,15 @@ def _sketch(it, k: int):
     slots = np.arange(CHUNKS * WIDTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in it:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc_id, text_key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
             s = shingler(text)
             keys = None
             if len(s):
                 sig = signature(s).reshape(CHUNKS, WIDTH)
                 packed = np.stack([(sig[:, d] << shifts).sum(axis=1, dtype=np.uint64) for d in drop], axis=1).ravel()
                 keys = mix(packed ^ slots).view(np.int64)  # one to one within a slot
-            rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "keys"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, text_key, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_id", "keys"]).astype({"doc_id": "Int64"})
 
 
 def _pack(it):
@@ -103,25 +109,46 @@ def _pack(it):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of (a, b) those whose full sets are similar enough."""
+    """Of (a, b, root_a, root_b) those whose full sets are similar enough."""
 
     def check(it):
         shingler, unpack = Shingler(k), zstandard.ZstdDecompressor()
         last, left = None, None
         for batch in it:
-            found = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
-                if (a, x) != last:  # rows come sorted by a
-                    last, left = (a, x), shingler(unpack.decompress(x))
+            hold = np.zeros(len(batch), dtype=bool)
+            for i, (a, x, y) in enumerate(zip(batch["a"], batch["x"], batch["y"], strict=True)):
+                if a != last:  # rows come sorted by a
+                    last, left = a, shingler(unpack.decompress(x))
                 right = shingler(unpack.decompress(y))
                 common = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * common >= percent * (len(left) + len(right) - common):
-                    found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                hold[i] = 100 * common >= percent * (len(left) + len(right) - common)
+            yield batch.loc[hold, ["a", "b", "root_a", "root_b"]]
 
     second = pairs.join(texts.select(F.col("cls").alias("b"), F.col("packed").alias("y")), "b")
     first = second.join(texts.select(F.col("cls").alias("a"), F.col("packed").alias("x")), "a")
-    return first.sortWithinPartitions("a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    ordered = first.sortWithinPartitions("a").select("a", "b", "root_a", "root_b", "x", "y")
+    return ordered.mapInPandas(check, "a long, b long, root_a long, root_b long")
+
+
+def _star(labelled: DataFrame, turn: int) -> DataFrame:
+    """(a, b, root_a, root_b): a pivot for each class that shares a bucket with a larger component."""
+    order = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
+    heads = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "cls")).alias("p"))
+    pivots = heads.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("low"), "p")).alias("h")).select(
+        "key", F.col("h.p.cls").alias("a"), (-F.col("h.low")).alias("root_a")
+    )
+    offers = labelled.join(pivots, "key").where("root != root_a")
+    votes = offers.groupBy("cls", "root", "a", "root_a").agg(F.count("*").alias("n"))
+    best = votes.groupBy(F.col("cls").alias("b")).agg(
+        F.max(F.struct("n", (-F.col("a")).alias("m"), "root_a", F.col("root").alias("root_b"))).alias("v")
+    )
+    return best.select((-F.col("v.m")).alias("a"), "b", "v.root_a", "v.root_b")
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """Rows of buckets that span components."""
+    spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return labelled.join(spread, "key")
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -149,28 +176,31 @@ def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m[rows[lo:hi], at[lo:hi] - begin] = 1
             dense.append(m)
         out += dense[0] @ dense[1].T
-    return np.rint(out).astype(np.int64)
+    return np.rint(out)
 
 
-def _attached(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components that share a bucket; labelled: key, cls, root."""
-    sizes = labelled.select("cls", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
-    parts = labelled.select("key", "root").distinct().join(sizes, "root")
+def _attached(labelled: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; labelled: key, cls, root; sizes: cls, size."""
+    classes = checkpointed(labelled.select("cls", "root").distinct().join(sizes, "cls"))
+    parts = labelled.select("key", "root").distinct().join(
+        classes.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")), "root"
+    )
     hubs = (
         parts.groupBy("key")
-        .agg(F.max(F.struct("size", (-F.col("root")).alias("low"))).alias("h"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("key", (-F.col("h.low")).alias("hub"), F.col("h.size").alias("size"))
+        .agg(F.max(F.struct("members", (-F.col("root")).alias("low"), "shingles")).alias("h"))
+        .select("key", (-F.col("h.low")).alias("hub"), F.col("h.members").alias("members"), F.col("h.shingles").alias("shingles"))
     )
     attached = checkpointed(
-        labelled.join(hubs, "key").where("root != hub").select("hub", "size", "cls", "root").distinct()
+        labelled.join(hubs, "key").where("root != hub").select("hub", "members", "shingles", "cls", "root").distinct()
     )
-    shape = attached.groupBy("hub", "size").agg(F.count("*").alias("n")).select(
+    cut = lambda n, most, total: F.ceil(F.greatest(n / most, total / BLOCK_SHINGLES)).cast("int")
+    own = attached.join(sizes, "cls").groupBy("hub", "members", "shingles").agg(F.count("*").alias("n"), F.sum("size").alias("own"))
+    shape = own.select(
         "hub",
-        F.ceil(F.col("n") / LEFT).cast("int").alias("rows"),
-        F.ceil((F.col("n") + F.col("size")) / RIGHT).cast("int").alias("columns"),
+        cut(F.col("n"), LEFT, F.col("own")).alias("rows"),
+        cut(F.col("n") + F.col("members"), RIGHT, F.col("own") + F.col("shingles")).alias("columns"),
     )
-    members = labelled.select("cls", "root").distinct().join(shape.select(F.col("hub").alias("root")), "root")
+    members = classes.join(shape.select(F.col("hub").alias("root")), "root")
     right = attached.select("hub", "cls", "root").unionByName(members.select(F.col("root").alias("hub"), "cls", "root"))
     own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -217,6 +247,30 @@ def _attached(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     return picked.mapInPandas(compare, "a long, b long")
 
 
+def _parents(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) whose b occur once, a < b: three doublings of the pointers b -> a."""
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(3):
+        onward = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        up = up.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return up
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(root, top) of links (root_a, root_b): each root's neighbour with most links, or itself, two steps up.
+
+    Steps lead to more links or a smaller root, so they never circle. Not all of a component needs to meet
+    at one top: labels order the comparisons only, components are settled over all links at the end.
+    """
+    ends = links.where("root_a != root_b").select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
+    both = checkpointed(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    degree = both.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"))
+    known = both.unionByName(both.select("u", F.col("u").alias("v")).distinct()).join(degree, "v")
+    step = checkpointed(known.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("m")))["m"]).alias("top")))
+    onward = step.select(F.col("u").alias("top"), F.col("top").alias("next"))
+    return step.join(onward, "top").select(F.col("u").alias("root"), F.col("next").alias("top"))
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -224,38 +278,42 @@ def near_groups(
     shingle: int = SHINGLE,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key.
 
     A-Z is lower-cased, words are runs of anything but ASCII white space; a text of fewer than `shingle`
     words is one shingle, one without words (null too) has none and stands alone.
     component_id is the smallest doc_id reachable over links of at least `percent` hundredths (80 to 100), kept the
-    row that has it. Rows that repeat an id share its fate if their sets are equal. Rows without
+    row that has it. Rows that repeat an id are told apart by their texts (text_key, a hash of the text); those with
+    equal sets share their fate. Rows without
     an id are never linked and keep a null component. Other columns are ignored.
     """
     if not PERCENT <= percent <= 100:
         raise ValueError(f"percent must be from {PERCENT} to 100: the keys miss pairs below that")
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     signed = checkpointed(source.mapInPandas(lambda it: _sketch(it, shingle), SIGNED))
     grouped = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
+        .agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "keys")).alias("r"))
     )
-    classes = checkpointed(
-        grouped.select("set_id", F.col("r.doc_id").alias("cls"), F.col("r.n_shingles").alias("size"), F.col("r.keys").alias("keys"))
+    classes = checkpointed(grouped.select("set_id", "r.doc_id", "r.text_key", F.col("r.n_shingles").alias("size"), F.col("r.keys").alias("keys")))
+    # A class goes by its smallest doc_id; classes that share one (an id with several texts), by their sets' hashes.
+    repeated = checkpointed(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")))
+    unique = not repeated.limit(1).count()
+    classes = classes.withColumn("cls", F.col("doc_id")) if unique else classes.join(small_or_not(repeated), "doc_id", "left").withColumn(
+        "cls", F.when(F.col("again"), F.xxhash64("set_id")).otherwise(F.col("doc_id"))
     )
     keyed = classes.select("cls", F.explode("keys").alias("key"))
     # Buckets with company: their smallest class, by an aggregate that combines map-side.
     shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
     rows = checkpointed(keyed.join(shared.select("key", "low"), "key").select("key", "cls", "low"))
-    involved = rows.select("cls").distinct()
+    involved = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "text_key")
     texts = checkpointed(
-        source.join(involved, source["doc_id"] == involved["cls"], "left_semi")
-        .select(F.col("doc_id").alias("cls"), "text")
+        source.join(involved, ["doc_id", "text_key"])
+        .select("cls", "text")
         .mapInPandas(_pack, "cls long, packed binary")
-        .distinct()  # rows that repeat id and text
+        .dropDuplicates(["cls"])  # rows that repeat id and text
     )
     sizes = classes.select("cls", "size")
 
@@ -263,26 +321,40 @@ def near_groups(
         """Pairs whose set sizes allow the similarity."""
         a, b = (sizes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
         near = F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(near).drop("na", "nb")
 
     votes = rows.where("cls != low").groupBy("low", "cls").agg(F.count("*").alias("n"))
     best = votes.groupBy("cls").agg(F.max(F.struct("n", (-F.col("low")).alias("m"))).alias("v"))
-    star = fit(best.select((-F.col("v.m")).alias("a"), F.col("cls").alias("b")))
-    held = checkpointed(_verify(star, texts, shingle, percent))
-    roots = connected(held)
-    labelled = checkpointed(
-        rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "key", "cls", F.coalesce("root", "cls").alias("root")
-        )
-    )
-    more = checkpointed(_attached(labelled, texts, shingle, percent))
-    final = connected(held.unionByName(more))
-    members = classes.select("set_id", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "set_id", F.coalesce("root", "cls").alias("component")
-    )
-    joined = signed.select("doc_id", "n_shingles", "set_id").join(members, "set_id", "left")
+    star = fit(best.select((-F.col("v.m")).alias("a"), F.col("cls").alias("b"))).withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    links = checkpointed(_verify(star, texts, shingle, percent))
+    roots = checkpointed(_parents(links.select("a", "b")))
+    labelled = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    labelled = checkpointed(_open(labelled))
+    texts = checkpointed(texts.join(labelled.select("cls").distinct(), "cls", "left_semi"))
+    links = links.select("a", "b")
+    for turn in range(1, ROUNDS + 1):
+        star = checkpointed(fit(_star(labelled, turn)))
+        tried = star.count()
+        if not tried:
+            break
+        held = checkpointed(_verify(star, texts, shingle, percent))
+        links = links.unionByName(held.select("a", "b"))
+        good = held.count()
+        if good:
+            labelled = labelled.join(_merged(held), "root", "left").select("key", "cls", F.coalesce("top", "root").alias("root"))
+            labelled = checkpointed(_open(labelled))
+        if good < WORTHWHILE * tried:
+            break
+    more = checkpointed(_attached(labelled, sizes, texts, shingle, percent))
+    final = connected(links.unionByName(more)).withColumnRenamed("node", "cls")
+    found = classes.select("set_id", "cls", "doc_id").join(final, "cls", "left").select("set_id", "doc_id", F.coalesce("root", "cls").alias("root"))
+    if unique:
+        members = found.select("set_id", F.col("root").alias("component"))
+    else:  # roots are named by the smallest doc_id, whatever their classes go by
+        members = found.join(found.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("set_id", "component")
+    joined = signed.select("doc_id", "text_key", "n_shingles", "set_id").join(members, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return joined.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key"
     )

@@ -45,7 +45,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_groups(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = minhash_dedup.near_groups(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.drop("text_key")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
