@@ -6,7 +6,7 @@ proportions; the set of languages grows while the penalised likelihood (BIC) gro
 language with the largest proportion of that set, the score its proportion.
 
 The n-gram model is a classifier and is fitted on a bounded sample of labelled rows: about TRAIN_DOCS whole
-documents a language, chosen by a hash of the text; at most MODEL_GRAMS n-grams enter it.
+documents a language, chosen by a hash of the text; all their n-grams and all languages enter it.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import worker_state
+from quirefold.llm.common import small_or_not, worker_state
 
-TRAIN_DOCS, MODEL_GRAMS, MAX_LANGS = 1_000, 200_000, 500
+TRAIN_DOCS = 1_000
 GRAM, ROUNDS, SMOOTH = 3, 12, 0.2
-#: Words whose likelihoods a worker remembers.
-KNOWN_WORDS = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words whose likelihoods a worker remembers at most, and bytes that the likelihoods take.
+KNOWN_WORDS, KNOWN_BYTES = 250_000, 32_000_000
+#: Tokens whose mixtures are inferred together.
+BATCH_TOKENS = 200_000
+#: Numbers that count as word characters but are no letters (superscripts, fractions, circled digits and others).
+NUMERALS = "".join(re.escape(chr(i)) for i in range(0x80, 0x20000) if chr(i).isnumeric() and not chr(i).isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, proportions map<string,double>"
 
@@ -41,9 +45,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     """Model of (text, lang) rows without nulls, from about `per_lang` documents a language."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    counts = rows.groupBy("lang").count()
     share = counts.select("lang", F.least(F.lit(1.0), per_lang / F.col("count")).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where(
+    picked = rows.join(small_or_not(share), "lang").where(
         F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000
     )
 
@@ -58,10 +62,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                 for word, n in words.items():
                     for g in grams(word):
                         tally[g] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(tally), "n": list(tally.values())})
+                if tally:
+                    yield pd.DataFrame({"lang": lang, "gram": list(tally), "n": list(tally.values())})
 
     total = picked.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = total.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS).toPandas()  # at most MODEL_GRAMS rows
+    kept = total.orderBy("lang", "gram").toPandas()  # n-grams of the bounded sample
     langs = sorted(kept["lang"].unique())
     known = sorted(kept["gram"].unique())
     table = np.zeros((len(known) + 1, len(langs)))
@@ -95,48 +100,80 @@ class Mixture:
                 self.rows[i] = np.exp(np.maximum(row - row.max(), -30.0))
                 self.words[word] = i
 
-    def likelihoods(self, text: str) -> np.ndarray | None:
-        """Likelihood of each word under each language, relative to its best one; None without letters."""
-        words = LETTERS.findall(text.lower())
-        if not words or not self.langs:
-            return None
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """Likelihood of each word under each language, relative to its best one."""
         try:
             return self.rows[list(map(self.words.__getitem__, words))]
         except KeyError:
-            if len(self.words) > KNOWN_WORDS:
+            if len(self.words) > min(KNOWN_WORDS, KNOWN_BYTES // (4 * len(self.langs))):
                 self._reset()
             self._learn(words)
             return self.rows[list(map(self.words.__getitem__, words))]
 
     @staticmethod
-    def _em(p: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions and log-likelihood after some rounds of expectation-maximisation."""
-        theta = np.full(p.shape[1], 1.0 / p.shape[1])
+    def _em(p: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihoods of documents after some rounds of expectation-maximisation.
+
+        p holds the tokens of all documents, `begin` their first rows.
+        """
+        theta = np.full((len(sizes), p.shape[1]), 1.0 / p.shape[1])
         if p.shape[1] > 1:
             for _ in range(ROUNDS):
-                share = p * theta
+                share = p * np.repeat(theta, sizes, axis=0)
                 share /= share.sum(axis=1, keepdims=True)
-                theta = share.mean(axis=0)
-        return theta, float(np.log(p @ theta + 1e-30).sum())
-
-    def infer(self, text: str | None) -> dict[str, float]:
-        """Proportions of the selected languages; empty if the text has no letter."""
-        p = self.likelihoods(text) if text else None
-        if p is None:
-            return {}
-        p = p.astype(np.float64)
-        theta, _ = self._em(p)
-        order = np.argsort(-theta, kind="stable")
-        penalty = 0.5 * np.log(len(p) + 1.0) + 3.0
-        chosen = order[:1]
-        best, weight = self._em(p[:, chosen])[1] - penalty, np.ones(1)
-        for size in range(2, len(order) + 1):
-            trial = order[:size]
-            t, fit = self._em(p[:, trial])
-            if fit - penalty * size <= best:
+                theta = np.add.reduceat(share, begin, axis=0) / sizes[:, None]
+        fit = np.log((p * np.repeat(theta, sizes, axis=0)).sum(axis=1) + 1e-30)
+        return theta, np.add.reduceat(fit, begin)
+
+    def infer_all(self, texts: list[str | None]) -> list[dict[str, float]]:
+        """Per text the proportions of the selected languages; empty if it has no letter."""
+        out: list[dict[str, float]] = [{} for _ in texts]
+        if not self.langs:
+            return out
+        group: list[tuple[int, np.ndarray]] = []
+        tokens = 0
+        for i, text in enumerate(texts):
+            words = LETTERS.findall(text.lower()) if text else None
+            if words:
+                group.append((i, self.likelihoods(words)))
+                tokens += len(words)
+                if tokens >= BATCH_TOKENS:
+                    self._group(group, out)
+                    group, tokens = [], 0
+        if group:
+            self._group(group, out)
+        return out
+
+    def _group(self, group: list[tuple[int, np.ndarray]], out: list[dict[str, float]]) -> None:
+        """Grow every document's set of languages, by proportion, while its penalised likelihood grows."""
+        p = np.concatenate([x for _, x in group]).astype(np.float64)
+        sizes = np.array([len(x) for _, x in group])
+        spot = np.array([i for i, _ in group])
+        theta, _ = self._em(p, np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(-theta, axis=1, kind="stable")
+        penalty = 0.5 * np.log(sizes + 1.0) + 3.0
+        best = np.full(len(spot), -np.inf)
+        weights: list[np.ndarray] = [np.ones(1)] * len(spot)
+        live = np.arange(len(spot))  # documents whose set may still grow
+        for size in range(1, len(self.langs) + 1):
+            n = sizes[live]
+            rows = np.repeat(np.isin(np.arange(len(spot)), live), sizes)
+            part = np.take_along_axis(p[rows], np.repeat(order[live, :size], n, axis=0), axis=1)
+            t, fit = self._em(part, np.cumsum(n) - n, n)
+            value = fit - penalty[live] * size
+            grows = value > best[live]
+            for k in np.flatnonzero(grows).tolist():
+                weights[live[k]] = t[k]
+            best[live] = np.maximum(best[live], value)
+            live = live[grows]
+            if not len(live):
                 break
-            best, chosen, weight = fit - penalty * size, trial, t
-        return {self.langs[i]: float(w) for i, w in zip(chosen.tolist(), weight.tolist(), strict=True)}
+        for i, chosen, weight in zip(spot.tolist(), order.tolist(), weights, strict=True):
+            out[i] = {self.langs[c]: float(w) for c, w in zip(chosen, weight.tolist(), strict=False)}
+
+
+def _top(found: dict[str, float]) -> str:
+    return max(found, key=lambda x: (found[x], [-ord(c) for c in x])) if found else UNKNOWN
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,9 +189,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         mixture = worker_state(model["key"], lambda: Mixture(model))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = mixture.infer(text)
-                top = max(found, key=lambda x: (found[x], [-ord(c) for c in x])) if found else UNKNOWN
+            for doc_id, found in zip(batch["doc_id"], mixture.infer_all(batch["text"].tolist()), strict=True):
+                top = _top(found)
                 rows.append((doc_id, top, min(1.0, found.get(top, 0.0)), found))
             out = pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "proportions"])
             yield out.astype({"doc_id": "Int64"})
@@ -171,11 +207,7 @@ def with_language(docs: DataFrame, model: dict, text_col: str = "text", out_col:
     def label(texts: pd.Series) -> pd.Series:
         model = shipped.value
         mixture = worker_state(model["key"], lambda: Mixture(model))
-        out = []
-        for text in texts:
-            found = mixture.infer(text)
-            out.append(max(found, key=lambda x: (found[x], [-ord(c) for c in x])) if found else UNKNOWN)
-        return pd.Series(out, index=texts.index)
+        return pd.Series([_top(x) for x in mixture.infer_all(texts.tolist())], index=texts.index)
 
     # Not to be evaluated again for each use of the column.
     return docs.withColumn(out_col, label.asNondeterministic()(F.col(text_col)))
