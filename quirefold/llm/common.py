@@ -16,17 +16,28 @@ MEMO_LIMIT = 180_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to a new one only where unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a new temporary one where driver and executors are one process."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
+        if known.isDefined():
+            found = known.get()
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            found = tempfile.mkdtemp(prefix="checkpoints-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and cut its lineage, so that a lost executor costs a re-read."""
     shared_dir(df.sparkSession)

@@ -83,17 +83,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts. Rows that repeat a kept (id, text) are reduced to one in a branch that is empty unless such rows exist.
     """
     groups = checkpointed(exact_groups(docs, id_col, text_col))
-    named = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")]
+    named = [F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")]
     losers = small_or_not(groups.where("NOT (doc_id <=> keep_id)").select(*named).distinct())
     repeated = small_or_not(
         groups.where("doc_id <=> keep_id").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*named)
     )
-    columns = docs.columns
-    marked = docs.withColumns({"__own": F.col(id_col).cast("long"), "__text": digest(F.col(text_col))})
-    same = lambda side: (F.col("__own").eqNullSafe(side["__id"])) & (F.col("__text") == side["__digest"])
+    # Rows travel as one column, so that no column of theirs can clash.
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), digest(F.col(text_col)).alias("text"))
+    same = lambda side: (F.col("own").eqNullSafe(side["id"])) & (F.col("text") == side["digest"])
     kept = marked.join(losers, same(losers), "left_anti")
     if not repeated.head(1):
-        return kept.select(*columns)
+        return kept.select("row.*")
     once = kept.join(repeated, same(repeated), "left_anti")
-    many = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["__own", "__text"])
-    return once.unionByName(many).select(*columns)
+    many = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["own", "text"])
+    return once.unionByName(many).select("row.*")

@@ -228,8 +228,8 @@ def register(spark: SparkSession) -> None:
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> None:
     """Write a record per page. Equal payloads of at least `least` bytes: the largest id responds, the rest revisit it.
 
-    A null html is an empty payload. Rows that repeat an id with one payload revisit their own id, all but
-    one. Rows without an id are written as responses of their own. Other columns are ignored.
+    A null html is an empty payload. Rows that repeat the largest id
+    with one payload are all responses. Rows without an id are written as responses of their own. Other columns are ignored.
     """
     register(pages.sparkSession)
     rows = pages.select(
