@@ -4,12 +4,13 @@ A window's minimiser is the smallest hash among its m-word parts. Equal windows
 and neighbouring windows mostly share theirs, so a run of consecutive windows with one minimiser (a
 super-k-mer) travels as one packed string of its windows' 64-bit hashes, under the minimiser's
 64 bits, to the bucket of that minimiser. There a sort puts equal windows side by side and counts
-them exactly; 128 bits (bucket and window hash) decide that two windows are equal.
+them exactly; their 64-bit hashes, under one minimiser, decide that two windows are equal.
 
-Hot buckets. A bounded sample of documents (HOT_SAMPLE) proposes the minimisers that hold more than
-1/HOT_SHARE of its super-k-mers; there are at most HOT_SHARE of them. Windows under a hot minimiser are
-dealt one by one, by their own hash. Those of them that the sample itself holds HOT_TIMES times or more
-(at most HOT_WINDOWS hashes, broadcast) are thereby known to repeat: they are resolved map-side
+Hot buckets. A sample of documents (SAMPLE_SHARE of them, HOT_SAMPLE at least) estimates the super-k-mers under
+each minimiser of the corpus; minimisers with more than HOT_ROWS of them are hot, of which there are at most
+all super-k-mers / HOT_ROWS. Windows under a hot minimiser are dealt one by one, by their own hash, and are
+counted as they stream by, however many they are. Those of them that the sample itself holds HOT_TIMES times or more
+(the HOT_WINDOWS most frequent hashes, broadcast) are thereby known to repeat: they are resolved map-side
 and never meet in a task. Both lists steer the dealing only; the result is the same without them.
 Copies of a document are not special: results are keyed by (id, text hash).
 """
@@ -29,7 +30,7 @@ from quirefold.llm.words import WordHashes, mix, sliding_min, windows
 WINDOW = 35
 #: Words in a part from which the minimiser is chosen.
 PART = 4
-HOT_SAMPLE, HOT_SHARE, HOT_TIMES, HOT_WINDOWS = 10_000, 2_000, 8, 400_000
+HOT_SAMPLE, SAMPLE_SHARE, HOT_ROWS, HOT_TIMES, HOT_WINDOWS = 10_000, 0.01, 100_000, 8, 400_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PACKED = "bucket long, doc_id long, text_hash long, start int, n int, packed binary"
 
@@ -69,7 +70,8 @@ def _hot(docs: DataFrame, window: int, part: int, sample: int) -> tuple[np.ndarr
     total = docs.count()
     if not total:
         return none, none
-    picked = (docs if total <= sample else docs.sample(fraction=sample / total, seed=7)).select("text")
+    share = min(1.0, max(sample / total, SAMPLE_SHARE))
+    picked = (docs if share == 1 else docs.sample(fraction=share, seed=7)).select("text")
 
     def minimisers(batches):
         cut = SuperKmers(window, part)
@@ -79,8 +81,9 @@ def _hot(docs: DataFrame, window: int, part: int, sample: int) -> tuple[np.ndarr
                 yield pd.DataFrame({"low": np.concatenate(lows).view(np.int64)})
 
     counts = checkpointed(picked.mapInPandas(minimisers, "low long").groupBy("low").agg(F.count("*").alias("n")))
-    least = max(64, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    lows = [r[0] for r in counts.where(F.col("n") >= least).select("low").limit(HOT_SHARE).collect()]
+    # HOT_ROWS in the corpus; tables of a few million super-k-mers call what holds a 2,000th of them hot.
+    least = max(64, min(share * HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) / 2_000))
+    lows = [r[0] for r in counts.where(F.col("n") >= least).select("low").collect()]  # bounded, see above
     if not lows:
         return none, none
     hot = np.sort(np.array(lows, dtype=np.int64).view(np.uint64))
@@ -94,7 +97,7 @@ def _hot(docs: DataFrame, window: int, part: int, sample: int) -> tuple[np.ndarr
                     yield pd.DataFrame({"w": w[np.repeat(np.isin(low, hot), sizes)].view(np.int64)})
 
     known = picked.mapInPandas(hot_windows, "w long").groupBy("w").agg(F.count("*").alias("n"))
-    frequent = known.where(F.col("n") >= HOT_TIMES).select("w").limit(HOT_WINDOWS).collect()  # bounded, see above
+    frequent = known.where(F.col("n") >= HOT_TIMES).orderBy(F.desc("n"), "w").select("w").limit(HOT_WINDOWS).collect()  # bounded
     return hot, np.sort(np.array([r[0] for r in frequent], dtype=np.int64).view(np.uint64))
 
 
@@ -134,19 +137,35 @@ def repeated_ranges(
         return pd.DataFrame(rows, columns=["bucket", "doc_id", "text_hash", "start", "n", "packed"]).astype({"doc_id": "Int64"})
 
     def count(batches):
-        rest = None
+        rest, last = None, None  # an unfinished bucket; a hot window's hash if it was seen and is known to repeat
         for batch in batches:
+            if last is not None:
+                known = batch["bucket"].to_numpy() == last
+                if known.all():  # no need to gather them
+                    yield batch[["doc_id", "text_hash", "start", "n"]]
+                    continue
+                if known.any():
+                    yield batch.loc[known, ["doc_id", "text_hash", "start", "n"]]
+                    batch = batch.loc[~known]
+                last = None
             if rest is not None:
                 batch = pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
             tail = int(np.searchsorted(batch["bucket"].to_numpy(), batch["bucket"].iloc[-1]))
             rest = batch.iloc[tail:]
+            if len(rest) > 1 and dealt_alone(rest):
+                last, rest, tail = int(rest["bucket"].iloc[0]), None, len(batch)
             if tail:
                 yield marked(batch.iloc[:tail])
         if rest is not None and len(rest):
             yield marked(rest)
 
+    def dealt_alone(rows: pd.DataFrame) -> bool:
+        """Whether a bucket holds rows of one window, dealt by its hash."""
+        key = int(rows["bucket"].iloc[0]).to_bytes(8, "little", signed=True)
+        return bool((rows["packed"] == key).all())
+
     def marked(rows: pd.DataFrame) -> pd.DataFrame:
         """Sort all windows of whole buckets and mark those that have an equal neighbour."""
         sure = rows["packed"].str.len().to_numpy() == 0
