@@ -27,8 +27,8 @@ from quirefold.llm.common import Memo, checkpointed, small_or_not
 from quirefold.llm.minhash_dedup import near_groups
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Labelled documents (about) behind the lexicon and, of either class, the CRF; most words in the lexicon.
-LEXICON_DOCS, TRAIN_DOCS, LEXICON, STEPS = 60_000, 600, 5_000, 80
+#: Labelled documents (about) behind the lexicon and, of either class, the CRF; steps of its fit.
+LEXICON_DOCS, TRAIN_DOCS, STEPS = 60_000, 600, 80
 #: A lexicon word is in so many toxic texts at least, near copies counted once, and so many times likelier there
 #: than in clean ones.
 LEAST_RATIO, LEAST_DOCS = 10.0, 5
@@ -156,7 +156,7 @@ def _lexicon(labelled: DataFrame) -> list[str]:
             bits += F.when(f > 0, f * F.log((1 - part) / (1 - base))).otherwise(0.0)
         tried = math.log(max(1, counts.count()))
         kept = counts.where((t >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (bits >= tried))
-        return {r["word"] for r in kept.orderBy(F.desc(ratio), "word").limit(LEXICON).select("word").collect()}
+        return {r["word"] for r in kept.select("word").collect()}  # of a bounded sample
 
     whole = telling(lambda words: words)
     shipped = once.sparkSession.sparkContext.broadcast(whole)
