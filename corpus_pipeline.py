@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontamination, exact_dedup, language_id, minhash_dedup, queries, sentencepiece_bpe
-from quirefold.llm.common import arrow_rows, shared_dir, small_or_not
+from quirefold.llm.common import arrow_rows, remove, shared_dir, small_or_not
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the labelled documents of the stage's own input.
     """
     model = language_id.train(docs.where(language_id.fold("doc_id", 4) != 2))
-    found = language_id.with_language(docs, model, out_col="__lang").where(F.col("__lang") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    # Rows travel as one column, so that no column of theirs can clash.
+    found = language_id.with_language(docs.select(F.struct("*").alias("row"), "text"), model)
+    told = found.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return told.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +34,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id."""
-    gone = minhash_dedup.near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    gone = small_or_not(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    """Of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id.
+
+    Rows that repeat a doc_id are told apart by their texts.
+    """
+    gone = minhash_dedup.near_groups(docs).where("NOT kept").select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    return rows.join(small_or_not(gone), ["doc_id", "text_key"], "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each result is written to the shared folder and read again."""
+    """Apply the stages to `documents`; each result is written to the shared folder and read again, then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{base}/{name}"
         with arrow_rows(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
