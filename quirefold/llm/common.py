@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that each of a memo's two generations may hold; bounds a Python worker's memory.
-MEMO_LIMIT = 180_000
+MEMO_LIMIT = 120_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +59,15 @@ def arrow_rows(spark: SparkSession, most: int = 1_000):
         spark.conf.set(ARROW_ROWS, before)
 
 
+def hand_back() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 _STATE: dict = {}
 
 
@@ -70,11 +79,7 @@ def worker_state(key, make):
     """
     if key not in _STATE:
         _STATE.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim is not None:
-            trim(0)
+        hand_back()
         _STATE[key] = make()
     return _STATE[key]
 

@@ -25,16 +25,22 @@ from quirefold.llm.common import small_or_not, worker_state
 TRAIN_DOCS = 1_000
 GRAM, ROUNDS, SMOOTH = 3, 12, 0.2
 #: Words whose likelihoods a worker remembers at most, and bytes that the likelihoods take.
-KNOWN_WORDS, KNOWN_BYTES = 250_000, 32_000_000
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 32_000_000
 #: Tokens whose mixtures are inferred together.
-BATCH_TOKENS = 200_000
-#: Numbers that count as word characters but are no letters (superscripts, fractions, circled digits and others).
-NUMERALS = "".join(re.escape(chr(i)) for i in range(0x80, 0x20000) if chr(i).isnumeric() and not chr(i).isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+BATCH_TOKENS = 20_000
+WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, proportions map<string,double>"
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters, in lower case. Superscripts, fractions and the like are word characters but no letters."""
+    words = WORDS.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return words
+
+
 def grams(word: str) -> list[str]:
     """Character n-grams of a word with its borders; short words give what they have."""
     w = f" {word} "
@@ -56,7 +62,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
             found: dict[str, Counter] = {}
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 words = found.setdefault(lang, Counter())
-                words.update(LETTERS.findall(text.lower()))
+                words.update(letters(text))
             for lang, words in found.items():
                 tally: Counter = Counter()
                 for word, n in words.items():
@@ -89,26 +95,31 @@ class Mixture:
         self.words: dict[str, int] = {}
         self.rows = np.empty((1024, len(self.langs)), dtype=np.float32)
 
-    def _learn(self, words: list[str]) -> None:
-        for word in words:
-            if word not in self.words:
-                i = len(self.words)
-                if i == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                spots = [self.grams.get(g, self.rest) for g in grams(word)]
-                row = self.table[spots].sum(axis=0)
-                self.rows[i] = np.exp(np.maximum(row - row.max(), -30.0))
-                self.words[word] = i
+    def _learn(self, words: set[str]) -> None:
+        """Likelihoods of words that aren't known yet, all at once."""
+        fresh = words - self.words.keys()
+        if len(self.words) + len(fresh) > min(KNOWN_WORDS, KNOWN_BYTES // (4 * len(self.langs))):
+            self._reset()
+            fresh = words
+        if not fresh:
+            return
+        get, rest = self.grams.get, self.rest
+        spots: list[int] = []
+        begin = []
+        for word in fresh:
+            begin.append(len(spots))
+            spots += [get(g, rest) for g in grams(word)]
+        sums = np.add.reduceat(self.table[spots], begin, axis=0)
+        at = len(self.words)
+        if at + len(fresh) > len(self.rows):
+            more = np.empty((max(len(self.rows), at + len(fresh) - len(self.rows)), len(self.langs)), dtype=np.float32)
+            self.rows = np.concatenate([self.rows, more])
+        self.rows[at : at + len(fresh)] = np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -30.0))
+        self.words.update(zip(fresh, range(at, at + len(fresh)), strict=True))
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
-        """Likelihood of each word under each language, relative to its best one."""
-        try:
-            return self.rows[list(map(self.words.__getitem__, words))]
-        except KeyError:
-            if len(self.words) > min(KNOWN_WORDS, KNOWN_BYTES // (4 * len(self.langs))):
-                self._reset()
-            self._learn(words)
-            return self.rows[list(map(self.words.__getitem__, words))]
+        """Likelihood of each word under each language, relative to its best one; the words were learned before."""
+        return self.rows[list(map(self.words.__getitem__, words))]
 
     @staticmethod
     def _em(p: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +141,12 @@ class Mixture:
         out: list[dict[str, float]] = [{} for _ in texts]
         if not self.langs:
             return out
-        group: list[tuple[int, np.ndarray]] = []
+        group: list[tuple[int, list[str]]] = []
         tokens = 0
         for i, text in enumerate(texts):
-            words = LETTERS.findall(text.lower()) if text else None
+            words = letters(text) if text else None
             if words:
-                group.append((i, self.likelihoods(words)))
+                group.append((i, words))
                 tokens += len(words)
                 if tokens >= BATCH_TOKENS:
                     self._group(group, out)
@@ -144,9 +155,10 @@ class Mixture:
             self._group(group, out)
         return out
 
-    def _group(self, group: list[tuple[int, np.ndarray]], out: list[dict[str, float]]) -> None:
+    def _group(self, group: list[tuple[int, list[str]]], out: list[dict[str, float]]) -> None:
         """Grow every document's set of languages, by proportion, while its penalised likelihood grows."""
-        p = np.concatenate([x for _, x in group]).astype(np.float64)
+        self._learn({w for _, words in group for w in words})
+        p = np.concatenate([self.likelihoods(x) for _, x in group]).astype(np.float64)
         sizes = np.array([len(x) for _, x in group])
         spot = np.array([i for i, _ in group])
         theta, _ = self._em(p, np.cumsum(sizes) - sizes, sizes)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed, small_or_not
+from quirefold.llm.common import checkpointed, hand_back, small_or_not
 from quirefold.llm.components import connected
 from quirefold.llm.words import WordHashes, mix, windows
 
@@ -100,6 +100,8 @@ def _sketch(it, k: int):
                 keys = mix(packed ^ slots).view(np.int64)  # one to one within a slot
             rows.append((doc_id, text_key, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys))
         yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_id", "keys"]).astype({"doc_id": "Int64"})
+    del shingler
+    hand_back()
 
 
 def _pack(it):
@@ -242,6 +244,8 @@ def _attached(labelled: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, p
                 sides[side].append((cls, root, shingler(unpack.decompress(packed))))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
+        del shingler, sides, unit
+        hand_back()
 
     picked = filled.select("hub", "i", "j", "side", "cls", "root", "packed")
     return picked.mapInPandas(compare, "a long, b long")
