@@ -94,6 +94,17 @@ def small_or_not(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def hint_if_few(rows: int):
+    """A broadcast hint for frames of at most so many (counted) rows of ids, if those are few enough; else nothing."""
+    return F.broadcast if rows <= BROADCAST_IDS else lambda frame: frame
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished rounds, which it finds by garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Memo(dict):
     """A dict that computes missing values and holds at most two generations of `limit` entries.
 

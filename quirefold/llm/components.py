@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed
+from quirefold.llm.common import checkpointed, hint_if_few, release
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,13 +20,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    before = None
+    before, hint = None, hint_if_few(2 * links.count())
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(hint(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every link points from the larger node to a smaller one.
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = large.join(hint(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         links = checkpointed(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -36,3 +36,4 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+        release(links.sparkSession)

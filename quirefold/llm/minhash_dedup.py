@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import checkpointed, hand_back, small_or_not
+from quirefold.llm.common import checkpointed, hand_back, hint_if_few, release, small_or_not
 from quirefold.llm.components import connected
 from quirefold.llm.words import WordHashes, mix, windows
 
@@ -132,14 +132,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return ordered.mapInPandas(check, "a long, b long, root_a long, root_b long")
 
 
-def _star(labelled: DataFrame, turn: int) -> DataFrame:
+def _fits(percent: int):
+    """Set sizes na and nb that allow the similarity."""
+    return F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
+
+
+def _star(labelled: DataFrame, turn: int, percent: int, hint) -> DataFrame:
     """(a, b, root_a, root_b): a pivot for each class that shares a bucket with a larger component."""
-    order = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-    heads = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "cls")).alias("p"))
+    order = F.xxhash64("cls", F.lit(turn))
+    heads = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "cls", "size")).alias("p"))
     pivots = heads.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("low"), "p")).alias("h")).select(
-        "key", F.col("h.p.cls").alias("a"), (-F.col("h.low")).alias("root_a")
+        "key", F.col("h.p.cls").alias("a"), F.col("h.p.size").alias("na"), (-F.col("h.low")).alias("root_a")
     )
-    offers = labelled.join(pivots, "key").where("root != root_a")
+    offers = labelled.withColumnRenamed("size", "nb").join(hint(pivots), "key").where((F.col("root") != F.col("root_a")) & _fits(percent))
     votes = offers.groupBy("cls", "root", "a", "root_a").agg(F.count("*").alias("n"))
     best = votes.groupBy(F.col("cls").alias("b")).agg(
         F.max(F.struct("n", (-F.col("a")).alias("m"), "root_a", F.col("root").alias("root_b"))).alias("v")
@@ -147,10 +152,10 @@ def _star(labelled: DataFrame, turn: int) -> DataFrame:
     return best.select((-F.col("v.m")).alias("a"), "b", "v.root_a", "v.root_b")
 
 
-def _open(labelled: DataFrame) -> DataFrame:
+def _open(labelled: DataFrame, hint) -> DataFrame:
     """Rows of buckets that span components."""
     spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return labelled.join(spread, "key")
+    return labelled.join(hint(spread), "key")
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -181,11 +186,11 @@ def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out)
 
 
-def _attached(labelled: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components that share a bucket; labelled: key, cls, root; sizes: cls, size."""
-    classes = checkpointed(labelled.select("cls", "root").distinct().join(sizes, "cls"))
+def _attached(labelled: DataFrame, texts: DataFrame, k: int, percent: int, hint) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; labelled: key, cls, size, root."""
+    classes = checkpointed(labelled.select("cls", "size", "root").distinct())
     parts = labelled.select("key", "root").distinct().join(
-        classes.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")), "root"
+        hint(classes.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))), "root"
     )
     hubs = (
         parts.groupBy("key")
@@ -193,24 +198,24 @@ def _attached(labelled: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, p
         .select("key", (-F.col("h.low")).alias("hub"), F.col("h.members").alias("members"), F.col("h.shingles").alias("shingles"))
     )
     attached = checkpointed(
-        labelled.join(hubs, "key").where("root != hub").select("hub", "members", "shingles", "cls", "root").distinct()
+        labelled.join(hint(hubs), "key").where("root != hub").select("hub", "members", "shingles", "cls", "size", "root").distinct()
     )
     cut = lambda n, most, total: F.ceil(F.greatest(n / most, total / BLOCK_SHINGLES)).cast("int")
-    own = attached.join(sizes, "cls").groupBy("hub", "members", "shingles").agg(F.count("*").alias("n"), F.sum("size").alias("own"))
-    shape = own.select(
+    own = attached.groupBy("hub", "members", "shingles").agg(F.count("*").alias("n"), F.sum("size").alias("own"))
+    shape = checkpointed(own.select(
         "hub",
         cut(F.col("n"), LEFT, F.col("own")).alias("rows"),
         cut(F.col("n") + F.col("members"), RIGHT, F.col("own") + F.col("shingles")).alias("columns"),
-    )
-    members = classes.join(shape.select(F.col("hub").alias("root")), "root")
+    ))
+    members = classes.join(hint(shape.select(F.col("hub").alias("root"))), "root")
     right = attached.select("hub", "cls", "root").unionByName(members.select(F.col("root").alias("hub"), "cls", "root"))
     own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     units = (
-        attached.join(shape, "hub")
+        attached.join(hint(shape), "hub")
         .select("hub", own("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "cls", "root")
         .unionByName(
-            right.join(shape, "hub").select(
+            right.join(hint(shape), "hub").select(
                 "hub", every("rows").alias("i"), own("columns").alias("j"), F.lit(1).alias("side"), "cls", "root"
             )
         )
@@ -260,19 +265,19 @@ def _parents(links: DataFrame) -> DataFrame:
     return up
 
 
-def _merged(links: DataFrame) -> DataFrame:
+def _merged(links: DataFrame, hint) -> DataFrame:
     """(root, top) of links (root_a, root_b): each root's neighbour with most links, or itself, two steps up.
 
     Steps lead to more links or a smaller root, so they never circle. Not all of a component needs to meet
     at one top: labels order the comparisons only, components are settled over all links at the end.
     """
     ends = links.where("root_a != root_b").select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
-    both = checkpointed(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("n"))
-    known = both.unionByName(both.select("u", F.col("u").alias("v")).distinct()).join(degree, "v")
+    known = both.unionByName(both.select("u", F.col("u").alias("v"))).join(hint(degree), "v")
     step = checkpointed(known.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("m")))["m"]).alias("top")))
     onward = step.select(F.col("u").alias("top"), F.col("top").alias("next"))
-    return step.join(onward, "top").select(F.col("u").alias("root"), F.col("next").alias("top"))
+    return step.join(hint(onward), "top").select(F.col("u").alias("root"), F.col("next").alias("top"))
 
 
 def near_groups(
@@ -308,10 +313,10 @@ def near_groups(
     classes = classes.withColumn("cls", F.col("doc_id")) if unique else classes.join(small_or_not(repeated), "doc_id", "left").withColumn(
         "cls", F.when(F.col("again"), F.xxhash64("set_id")).otherwise(F.col("doc_id"))
     )
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    keyed = classes.select("cls", "size", F.explode("keys").alias("key"))
     # Buckets with company: their smallest class, by an aggregate that combines map-side.
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    rows = checkpointed(keyed.join(shared.select("key", "low"), "key").select("key", "cls", "low"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("cls", "size")).alias("low"), F.max("cls").alias("high")).where("low.cls < high")
+    rows = checkpointed(keyed.join(shared.select("key", F.col("low.cls").alias("low"), F.col("low.size").alias("na")), "key").select("key", "cls", "size", "low", "na"))
     involved = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "text_key")
     texts = checkpointed(
         source.join(involved, ["doc_id", "text_key"])
@@ -319,37 +324,34 @@ def near_groups(
         .mapInPandas(_pack, "cls long, packed binary")
         .dropDuplicates(["cls"])  # rows that repeat id and text
     )
-    sizes = classes.select("cls", "size")
-
-    def fit(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes allow the similarity."""
-        a, b = (sizes.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}")) for c in "ab")
-        near = F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
-        return pairs.join(a, "a").join(b, "b").where(near).drop("na", "nb")
-
-    votes = rows.where("cls != low").groupBy("low", "cls").agg(F.count("*").alias("n"))
+    fitting = rows.withColumnRenamed("size", "nb").where((F.col("cls") != F.col("low")) & _fits(percent))
+    votes = fitting.groupBy("low", "cls").agg(F.count("*").alias("n"))
     best = votes.groupBy("cls").agg(F.max(F.struct("n", (-F.col("low")).alias("m"))).alias("v"))
-    star = fit(best.select((-F.col("v.m")).alias("a"), F.col("cls").alias("b"))).withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    star = best.select((-F.col("v.m")).alias("a"), F.col("cls").alias("b")).withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
     links = checkpointed(_verify(star, texts, shingle, percent))
     roots = checkpointed(_parents(links.select("a", "b")))
-    labelled = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    labelled = checkpointed(_open(labelled))
+    labelled = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    labelled = checkpointed(_open(labelled, lambda frame: frame))
     texts = checkpointed(texts.join(labelled.select("cls").distinct(), "cls", "left_semi"))
     links = links.select("a", "b")
+    del rows, fitting, votes, best, star, keyed, shared, roots
+    hint = hint_if_few(labelled.count())  # what the rounds join by id is no larger
     for turn in range(1, ROUNDS + 1):
-        star = checkpointed(fit(_star(labelled, turn)))
+        release(docs.sparkSession)
+        star = checkpointed(_star(labelled, turn, percent, hint))
         tried = star.count()
         if not tried:
             break
-        held = checkpointed(_verify(star, texts, shingle, percent))
+        held = checkpointed(_verify(hint(star), texts, shingle, percent))
         links = links.unionByName(held.select("a", "b"))
         good = held.count()
         if good:
-            labelled = labelled.join(_merged(held), "root", "left").select("key", "cls", F.coalesce("top", "root").alias("root"))
-            labelled = checkpointed(_open(labelled))
+            labelled = labelled.join(hint(_merged(held, hint)), "root", "left").select("key", "cls", "size", F.coalesce("top", "root").alias("root"))
+            labelled = checkpointed(_open(labelled, hint))
         if good < WORTHWHILE * tried:
             break
-    more = checkpointed(_attached(labelled, sizes, texts, shingle, percent))
+    more = checkpointed(_attached(labelled, texts, shingle, percent, hint))
+    release(docs.sparkSession)
     final = connected(links.unionByName(more)).withColumnRenamed("node", "cls")
     found = classes.select("set_id", "cls", "doc_id").join(final, "cls", "left").select("set_id", "doc_id", F.coalesce("root", "cls").alias("root"))
     if unique:
