@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quirefold.plans import layout_queries, pdf_queries, text_queries  # noqa: F401
+    from quirefold.plans import layout_queries, mark_queries, pdf_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
