@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
 import zlib
+from dataclasses import replace
 from typing import Any, NamedTuple
 
 from quirefold.pdf import layout
-from quirefold.pdf.content import Glyph, Walker
+from quirefold.pdf.content import Glyph, Walker, operators
 from quirefold.pdf.document import Document
 from quirefold.pdf.objects import Name, PdfError, Ref, Stream, real, serialise, text_of
 
@@ -142,36 +145,90 @@ def splice(original: bytes, patches: list[tuple[int, int, bytes]]) -> bytes:
     return b"".join([*out, original[at:]])
 
 
-def _hits(line: layout.Line, text: str) -> list[Glyph]:
-    """Glyphs of the literal's non-overlapping occurrences in a line; a gap counts as one space."""
-    chars, owner, before = [], [], None
-    for g in line.glyphs:
-        if before is not None and g.tangent - before.tangent - before.advance > layout.WORD_GAP * max(g.size, before.size, 1.0):
+HYPHENS = ("-", "\u00ad")
+_SPACE = re.compile("[" + "".join(map(chr, sorted(layout.SPACES))) + "]+")
+
+
+def _spelt(lines: list[layout.Line], hyphen: str) -> tuple[str, list[list[Glyph]]]:
+    """Lines read as one text, and the glyphs of each character; white space, gaps and line ends are one space.
+
+    A hyphen at a line's end before a lower-case letter is joined to it ("keep"), left out ("drop") or like any other ("space").
+    """
+    chars: list[str] = []
+    owners: list[list[Glyph]] = []
+
+    def space(*glyphs: Glyph) -> None:
+        if chars and chars[-1] == " ":
+            owners[-1] += glyphs
+        else:
             chars.append(" ")
-            owner.append(None)
-        for c in g.text or "\0":
-            chars.append(c)
-            owner.append(g)
-        before = g
-    found, whole, at = [], "".join(chars), 0
-    while text and (at := whole.find(text, at)) >= 0:
-        found += [g for g in owner[at : at + len(text)] if g is not None]
-        at += len(text)
+            owners.append([*glyphs])
+
+    for line in lines:
+        if chars and hyphen != "space" and chars[-1] in HYPHENS and (line.glyphs[0].text or "")[:1].islower():
+            if hyphen == "drop" and len(chars) > 1:
+                chars.pop()
+                last = owners.pop()
+                owners[-1] += last
+        elif chars:
+            space()
+        before = None
+        for g in line.glyphs:
+            if before is not None and g.tangent - before.tangent - before.advance > layout.WORD_GAP * max(g.size, before.size, 1.0):
+                space()
+            for c in g.text or "\0":
+                if ord(c) in layout.SPACES:
+                    space(g)
+                else:
+                    chars.append(c)
+                    owners.append([g])
+            before = g
+    return "".join(chars), owners
+
+
+def _hits(lines: list[layout.Line], text: str) -> list[set[int]]:
+    """The glyphs (by identity) of each of the literal's non-overlapping occurrences in lines read as one text."""
+    text = _SPACE.sub(" ", text)
+    broken = any((line.glyphs[-1].text or "").endswith(HYPHENS) for line in lines[:-1])
+    found = []
+    for way in ("space", "keep", "drop") if broken else ("space",):
+        whole, owners = _spelt(lines, way)
+        at = 0
+        while text and (at := whole.find(text, at)) >= 0:
+            found.append({id(g) for held in owners[at : at + len(text)] for g in held})
+            at += len(text)
     return found
 
 
+def _marked(walker: Walker, text: str) -> set[int]:
+    """Glyphs to remove from a page: by paragraph, over line ends; then by lines of the whole page, over column gaps."""
+    gone: set[int] = set()
+    for block in layout.regions(walker.glyphs, walker.rules):
+        for lines, _ in layout.paragraphs(block):
+            gone |= set().union(*_hits(lines, text))
+    for line in layout.lines_of(walker.glyphs):
+        for hit in _hits([line], text):
+            if not hit & gone:
+                gone |= hit
+    return gone
+
+
 def redact(doc: Document, text: str) -> tuple[bytes, int]:
-    """Remove a literal from all pages, the document information and annotations; what stays keeps its place.
+    """Remove a literal from all pages, strings and metadata; what stays keeps its place.
 
-    All pages are planned before any is changed. The result is written in full, so no earlier revision remains.
-    Occurrences inside form objects are refused. Returns the file and the number of removed glyphs.
+    A literal may run over line ends within a paragraph, any white space counts as one space there. All pages are
+    planned before any is changed. The result is written in full, so no earlier revision remains, and is read again:
+    occurrences that can't be removed (in form objects, in embedded files) raise PdfError, so no file is returned
+    that still holds the text where verify_redaction tells text from syntax. Returns the file and the number of removed glyphs.
     """
     changes: dict[int, Any] = {}
     removed, fonts = 0, {}
     for page in doc.pages():
         walker = Walker(doc, page, fonts)
-        gone = {id(g) for line in layout.lines_of(walker.glyphs) for g in _hits(line, text)}
-        if not gone:
+        gone = _marked(walker, text)
+        data = doc.content(page)
+        patches = _properties(data, text)
+        if not gone and not patches:
             continue
         removed += len(gone)
         if not isinstance(page["__ref"], Ref):
@@ -179,28 +236,46 @@ def redact(doc: Document, text: str) -> tuple[bytes, int]:
         by_run: dict[int, list[Glyph]] = {}
         for g in walker.glyphs:
             by_run.setdefault(g.run, []).append(g)
-        patches = []
         for run, glyphs in by_run.items():
             if any(id(g) in gone for g in glyphs):
                 if run not in walker.sources:
                     raise PdfError("the text lies in a form object")
                 patches.append(_without(walker.sources[run], glyphs, gone))
-        content = packed(splice(doc.content(page), patches))
         num = max([*doc.entries, *changes]) + 1
-        changes[num] = content
+        changes[num] = packed(splice(data, patches))
         changes[page["__ref"].num] = doc.get(page["__ref"].num) | {"Contents": Ref(num, 0)}
     for num in doc.reachable():
-        value = doc.get(num)
-        if isinstance(value, dict) and num not in changes:
-            clean = {k: _strip(v, text) for k, v in value.items()}
-            if clean != value:
-                changes[num] = clean
-    return save_full(doc, changes), removed
+        value = changes.get(num, doc.get(num))
+        clean = _strip(value, text)
+        if isinstance(value, Stream):
+            clean = replace(value, dict=_strip(value.dict, text))
+            if _is_metadata(value):
+                packet = doc.decoded(value)
+                if _packet(packet, text)[1]:
+                    plain = {k: v for k, v in clean.dict.items() if k not in ("Filter", "DecodeParms", "Length")}
+                    changes[num] = packed(_packet(packet, text)[0].encode(), **plain)
+                    continue
+            if clean.dict == value.dict:
+                continue
+        if clean != value:
+            changes[num] = clean
+    saved = save_full(doc, changes)
+    left = [place for _, place in verify_redaction(saved, [text]) if place in TELLING]
+    if left:
+        raise PdfError(f"the text is left in: {', '.join(left)}")
+    return saved, removed
+
+
+#: Places of verify_redaction where a find is text; short literals occur by chance in bytes and in streams' syntax.
+TELLING = ("strings", "shown", "metadata", "files")
 
 
 def _strip(value: Any, text: str) -> Any:
     if isinstance(value, bytes) and text and text in (text_of(value) or ""):
-        return text_of(value).replace(text, "")
+        left = text_of(value)
+        while text in left:
+            left = left.replace(text, "")
+        return left
     if isinstance(value, list):
         return [_strip(v, text) for v in value]
     if isinstance(value, dict):
@@ -208,6 +283,55 @@ def _strip(value: Any, text: str) -> Any:
     return value
 
 
+def _properties(data: bytes, text: str) -> list[tuple[int, int, bytes]]:
+    """Patches of marked-content operators whose inline properties (ActualText, Alt, E) hold the text."""
+    if b"BDC" not in data and b"DP" not in data:
+        return []
+    out = []
+    for op in operators(data):
+        if op.name in ("BDC", "DP") and (clean := _strip(list(op.operands), text)) != list(op.operands):
+            out.append((op.start, op.end, b" ".join(map(serialise, clean)) + b" " + op.name.encode()))
+    return out
+
+
+def _is_metadata(stream: Stream) -> bool:
+    return stream.dict.get("Type") == "Metadata" or stream.dict.get("Subtype") == "XML"
+
+
+_MARKUP = re.compile(r"(<!--.*?-->|<[^>]*>)", re.S)
+_ATTRIBUTE = re.compile(r"""([\w:.-]+)(\s*=\s*)("[^"]*"|'[^']*')""")
+
+
+def _packet(data: bytes, text: str) -> tuple[str, bool]:
+    """An XMP packet without the text in character data, attribute values and comments, and whether it held it."""
+    packet = data.decode("utf-16" if data[:2] in (b"\xfe\xff", b"\xff\xfe") else "utf-8", "replace")
+    literal = re.compile(r"\s+".join(map(re.escape, re.split(r"\s+", text)))) if text else re.compile(r"(?!)")
+    held = False
+
+    def clean(escaped: str) -> str:
+        nonlocal held
+        value = html.unescape(escaped)
+        if not literal.search(value):
+            return escaped
+        held = True
+        while literal.search(value):
+            value = literal.sub("", value)
+        return html.escape(value)
+
+    def attribute(m: re.Match) -> str:
+        return m[0] if m[1].startswith("xmlns") else m[1] + m[2] + m[3][0] + clean(m[3][1:-1]) + m[3][0]
+
+    parts = []
+    for part in _MARKUP.split(packet):
+        if part.startswith("<!"):
+            parts.append(part if clean(part) == part else "")
+        elif part.startswith("<"):
+            parts.append(_ATTRIBUTE.sub(attribute, part))
+        else:
+            parts.append(clean(part))
+    return "".join(parts), held
+
+
 def _without(source: tuple, glyphs: list[Glyph], gone: set[int]) -> tuple[int, int, bytes]:
     """A show operator that leaves glyphs out and moves the pen over them instead."""
     op, per_unit = source
@@ -248,24 +372,34 @@ def _without(source: tuple, glyphs: list[Glyph], gone: set[int]) -> tuple[int, i
 
 
 def verify_redaction(data: bytes, texts: list[str]) -> list[tuple[str, str]]:
-    """Where the texts can still be found: raw bytes, strings, decoded streams or shown text."""
+    """Where the texts can still be found: raw bytes, strings, decoded streams, metadata, embedded files or shown text."""
     doc, found = Document(data), []
-    shown = "\n".join(line.text for page in doc.pages() for line in layout.lines_of(Walker(doc, page).glyphs))
-    streams, strings = [], []
-    for num in doc.entries:
-        todo = [doc.get(num)]
+    marked, walkers = [], [Walker(doc, page) for page in doc.pages()]
+    for page in doc.pages():
+        content = doc.content(page)
+        if b"BDC" in content or b"DP" in content:
+            marked += [op.operands for op in operators(content) if op.name in ("BDC", "DP")]
+    streams, strings, packets, files = [], [], [], []
+    for start in [*(doc.get(num) for num in doc.entries), *marked]:
+        todo = [start]
         while todo:
             value = todo.pop()
             if isinstance(value, Stream):
-                streams.append(doc.decoded(value))
+                plain = doc.decoded(value)
+                streams.append(plain)
+                if _is_metadata(value):
+                    packets.append(plain)
+                if value.dict.get("Type") == "EmbeddedFile":
+                    files.append(plain)
                 todo.append(value.dict)
             elif isinstance(value, bytes):
                 strings.append(text_of(value) or "")
-            elif isinstance(value, (list, dict)):
+            elif isinstance(value, (list, tuple, dict)):
                 todo += value.values() if isinstance(value, dict) else value
     for text in texts:
         forms = [text.encode("utf-8"), text.encode("utf-16-be")]
         places = {"bytes": any(f in data for f in forms), "strings": any(text in s for s in strings),
-                  "streams": any(f in s for f in forms for s in streams), "shown": text in shown}
+                  "streams": any(f in s for f in forms for s in streams), "metadata": any(_packet(p, text)[1] for p in packets),
+                  "files": any(f in s for f in forms for s in files), "shown": any(_marked(w, text) for w in walkers)}
         found += [(text, place) for place, there in places.items() if text and there]
     return found

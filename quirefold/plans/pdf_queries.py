@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.pdf import layout, tables, write
+from quirefold.pdf.content import Walker
 from quirefold.pdf.document import Document
 from quirefold.pdf.write import Placed
 from quirefold.plans.registry import query
@@ -140,6 +141,24 @@ def q_pdf_redact(spark, sf_dir):
     return rows.groupBy(*KEYS, "page").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
 
 
+@query("pdf_redact_phrase", _PLACED + """, x AS (SELECT conv_id, turn, CASE WHEN len(ws) > 8 THEN ws[8] || ' ' || ws[9] END AS phrase FROM d),
+b2 AS (SELECT conv_id, turn, page, string_agg(text, ' ' ORDER BY line) AS text FROM n WHERE size = 10 GROUP BY 1, 2, 3)
+SELECT conv_id, turn, page, replace(CASE WHEN phrase IS NULL THEN text ELSE replace(text, phrase, '') END, ' ', '') AS text
+FROM b2 JOIN x USING (conv_id, turn)""")
+def q_pdf_redact_phrase(spark, sf_dir):
+    """The phrase that the first line end of each file breaks is removed wherever it stands."""
+
+    def clean(conv: int, turn: int, data: bytes) -> bytes:
+        doc = Document(data)
+        body = [line.text for line in layout.lines_of(Walker(doc, doc.pages()[0]).glyphs) if round(line.size) == 10]
+        return write.redact(doc, f"{body[0].split(' ')[-1]} {body[1].split(' ')[0]}")[0] if len(body) > 1 else data
+
+    rows = tables.lines(changed(files(spark, sf_dir), clean), KEYS).where("round(size) = 10")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    whole = F.array_join(F.transform(ordered, lambda r: r["text"]), "")
+    return rows.groupBy(*KEYS, "page").agg(F.replace(whole, F.lit(" "), F.lit("")).alias("text"))
+
+
 @query("pdf_body_size", _PLACED + """, s AS (SELECT conv_id, turn, size, sum(length(text)) AS c FROM n GROUP BY 1, 2, 3)
 SELECT conv_id, turn, CAST(arg_max(size, struct_pack(c := c, l := -size)) AS DOUBLE) AS body FROM s GROUP BY 1, 2""")
 def q_pdf_body_size(spark, sf_dir):
