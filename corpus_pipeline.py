@@ -8,12 +8,13 @@ empty texts have no language and go in the first stage.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontamination, exact_dedup, language_id, minhash_dedup, queries, sentencepiece_bpe
-from quirefold.llm.common import arrow_rows, remove, shared_dir, small_or_not
+from quirefold.llm.common import arrow_rows, hand_back_all, remove, shared_dir, small_or_not
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +54,23 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sentencepiece_bpe.round_trip(docs, queries.piece_model())
 
 
+def _lean(stage):
+    """The stage, begun with the memory that executors and Python workers really use."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hand_back_all(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 STAGES = [
-    ("language_id", language_stage),
-    ("exact_dedup", exact_stage),
-    ("minhash_dedup", near_stage),
-    ("decontamination", decontamination_stage),
-    ("sentencepiece", encoding_stage),
+    ("language_id", _lean(language_stage)),
+    ("exact_dedup", _lean(exact_stage)),
+    ("minhash_dedup", _lean(near_stage)),
+    ("decontamination", _lean(decontamination_stage)),
+    ("sentencepiece", _lean(encoding_stage)),
 ]
 
 #: SQL can't express language identification or BPE; tests hold the pipeline against brute force.

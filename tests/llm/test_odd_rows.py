@@ -85,6 +85,34 @@ def test_stages_keep_columns_and_repeated_ids(spark, odd, tmp_path):
         assert stage(spark, odd.limit(0), sf).count() == 0, name
 
 
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "decontamination", "sentencepiece"])
+def test_stages_hand_memory_back_first(spark, odd, tmp_path, name):
+    """Executors (here the driver) collect their whole heap, and Python workers let go what the stage before kept."""
+    import corpus_pipeline
+
+    def keep(batches):
+        from quirefold.llm import common
+
+        common.worker_state("before", lambda: bytearray(1_000_000))
+        yield from batches
+
+    def kept(batches):
+        from quirefold.llm import common
+
+        for batch in batches:
+            yield batch.assign(id=int("before" in common._STATE))
+
+    spark.createDataFrame([(9, "One two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    tasks = spark.range(0, 4, 1, 4)
+    tasks.mapInPandas(keep, "id long").collect()
+    before = full()
+    dict(corpus_pipeline.STAGES)[name](spark, odd, str(tmp_path))
+    assert full() > before
+    assert not any(r["id"] for r in tasks.mapInPandas(kept, "id long").collect())
+
+
 def test_letters():
     assert language_id.letters("A½b ²c ①d1e_f 漢é ½") == ["a", "b", "c", "d", "e", "f", "漢é"]
 
