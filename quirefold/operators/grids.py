@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.functions import stats
+
 BAR = " | "
 
 
@@ -35,7 +37,7 @@ def tables(lines: DataFrame) -> DataFrame:
     fill = F.size(F.filter(cells, lambda c: c != "")) / F.size(cells)
     return shaped.select(
         "doc_id", "first", F.size("rows").cast("long").alias("n_rows"), F.col("width").cast("long").alias("n_columns"),
-        F.round(fill, 6).alias("fill"), gfm(F.col("rows"), F.col("width")).alias("markdown"),
+        stats.rounded(fill, 6).alias("fill"), gfm(F.col("rows"), F.col("width")).alias("markdown"),
     )
 
 
