@@ -13,7 +13,7 @@ DOCS = [(1, ""), (2, ""), (3, None), (4, "a" * 30), (5, "ab" * 320 + "c"), (6, "
 ITEMS = [(3, "abc" * 9), (2, "aab"), (2, "é")]
 
 
-@pytest.mark.parametrize("name", ["char_similarity", "containment"])
+@pytest.mark.parametrize("name", ["char_similarity", "containment", "degenerate_text"])
 def test_odd_texts_equal_their_sql(spark, tmp_path, name):
     more = [(100 + 2 * i, "a" * i + "b" * (640 - i)) for i in range(1, 640)] + [(101 + 2 * i, "a" * 640) for i in range(1, 640)]
     spark.createDataFrame(DOCS + more, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
