@@ -101,8 +101,8 @@ SELECT doc_id, CASE WHEN b.n > 0 THEN b.tag ELSE 'Latn' END AS script, CASE WHEN
 def q_script_direction(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
     more = spark.createDataFrame([(-1, "שלום abc"), (-2, "12 ."), (-3, "мир"), (-4, "ab мир")], "doc_id long, text string")
-    script = marks.script_of(F.col("text"))
-    return docs.unionByName(more).select("doc_id", script.alias("script"), marks.direction_of(script).alias("direction"))
+    found = docs.unionByName(more).select("doc_id", marks.script_of(F.col("text")).alias("script"))
+    return found.select("doc_id", "script", marks.direction_of(F.col("script")).alias("direction"))
 
 
 EDGES = [0, 20, 40, 80, 160, 320]
