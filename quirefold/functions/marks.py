@@ -84,7 +84,6 @@ RIGHT_TO_LEFT = (
 
 #: The code page's characters from 0x80 to 0x9F, in the order of their codes; five codes have none.
 SPECIAL = {code: bytes([code]).decode("cp1252") for code in range(0x80, 0xA0) if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-ENCODABLE = " -~ -ÿ" + "".join(SPECIAL.values())
 
 
 def list_marker(text: Column, hanging: Column) -> Column:
@@ -163,11 +162,18 @@ def direction_of(script: Column) -> Column:
     return F.when(script.isin(*RIGHT_TO_LEFT), "rtl").otherwise("ltr")
 
 
+_CONTROLS = bytes([*range(0x20), 0x7F])
+
+
 def win_ansi(text: Column) -> Column:
-    """Bytes of the characters that the code page has; others are left out."""
-    known = F.regexp_replace(text, f"[^{ENCODABLE}]", "")
-    low = "".join(map(chr, SPECIAL))
-    return F.encode(F.translate(known, "".join(SPECIAL.values()), low), "ISO-8859-1")
+    """Bytes of the characters that the code page has; others and controls are left out."""
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else t.encode("cp1252", "ignore").translate(None, _CONTROLS))
+
+    return encoded(text)
 
 
 def slot(edges: Column, value: Column) -> Column:
