@@ -8,6 +8,7 @@ NAMES = [
     "pdf_headings",
     "pdf_redact_phrase",
     "pdf_paragraphs",
+    "pdf_redact",
 ]
 
 
