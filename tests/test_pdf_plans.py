@@ -9,6 +9,7 @@ NAMES = [
     "pdf_redact_phrase",
     "pdf_paragraphs",
     "pdf_redact",
+    "pdf_running",
 ]
 
 
