@@ -10,6 +10,7 @@ NAMES = [
     "pdf_paragraphs",
     "pdf_redact",
     "pdf_running",
+    "pdf_markdown",
 ]
 
 
