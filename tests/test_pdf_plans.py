@@ -11,6 +11,7 @@ NAMES = [
     "pdf_redact",
     "pdf_running",
     "pdf_markdown",
+    "pdf_body_size",
 ]
 
 
