@@ -12,6 +12,7 @@ NAMES = [
     "pdf_running",
     "pdf_markdown",
     "pdf_body_size",
+    "pdf_fonts",
 ]
 
 
