@@ -13,6 +13,7 @@ NAMES = [
     "pdf_markdown",
     "pdf_body_size",
     "pdf_fonts",
+    "pdf_operators",
 ]
 
 
