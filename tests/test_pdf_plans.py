@@ -14,6 +14,7 @@ NAMES = [
     "pdf_body_size",
     "pdf_fonts",
     "pdf_operators",
+    "pdf_recovered",
 ]
 
 
