@@ -15,6 +15,7 @@ NAMES = [
     "pdf_fonts",
     "pdf_operators",
     "pdf_recovered",
+    "pdf_revision",
 ]
 
 
