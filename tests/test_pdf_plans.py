@@ -16,6 +16,7 @@ NAMES = [
     "pdf_operators",
     "pdf_recovered",
     "pdf_revision",
+    "pdf_lines",
 ]
 
 
