@@ -17,6 +17,7 @@ NAMES = [
     "pdf_recovered",
     "pdf_revision",
     "pdf_lines",
+    "pdf_words",
 ]
 
 
